@@ -1,0 +1,24 @@
+"""Registry of named queries and their DuckDB oracle SQL.
+
+Each plan module decorates ``fn(spark, sf_dir) -> DataFrame`` with
+``@query(name, oracle=SQL)``; SQL is omitted only for operators that are
+not expressible in SQL (iterative algorithms, models, streams).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def deco(fn):
+        if name in QUERIES:
+            raise ValueError(f"duplicate query {name}")
+        QUERIES[name] = fn
+        if oracle is not None:
+            ORACLES[name] = oracle.strip()
+        return fn
+    return deco
