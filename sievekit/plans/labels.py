@@ -59,9 +59,9 @@ def label_lists(spark, sf_dir):
 
 @query("label_list_describe", oracle=f"""
 WITH {OL}, n AS (SELECT o_orderkey, count(*) AS k FROM ol GROUP BY 1)
-SELECT count(k) AS count, avg(k) AS mean, stddev_samp(k) AS std, min(k)::DOUBLE AS min,
-       quantile_cont(k, 0.25) AS q25, quantile_cont(k, 0.5) AS q50, quantile_cont(k, 0.75) AS q75,
-       max(k)::DOUBLE AS max
+SELECT count(k) AS count, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS std, min(k)::DOUBLE AS min,
+       round(quantile_cont(k, 0.25), 6) AS q25, round(quantile_cont(k, 0.5), 6) AS q50,
+       round(quantile_cont(k, 0.75), 6) AS q75, max(k)::DOUBLE AS max
 FROM n
 """)
 def label_list_describe(spark, sf_dir):
@@ -335,7 +335,7 @@ def class_assign_second(spark, sf_dir):
 WITH {OL}
 SELECT count(DISTINCT o_orderkey) AS n_rows, count(DISTINCT label) AS n_labels,
        count(*) AS n_positives, count(DISTINCT label) + 2 AS n_columns,
-       count(*) / count(DISTINCT o_orderkey) AS labels_per_row
+       round(count(*) / count(DISTINCT o_orderkey), 6) AS labels_per_row
 FROM ol
 """)
 def dataset_shape(spark, sf_dir):
