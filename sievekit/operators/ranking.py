@@ -41,8 +41,7 @@ def group_position(df: DataFrame, group, order_hex: str, prefix_len: int = 2,
     counted with a partial aggregate, offsets come from a window over the small
     (group, bucket) count table, and the final ``row_number`` runs per
     (group, bucket) — so no single task ever sorts a whole hot group.
-    Ties in ``order_hex`` are broken by the remaining columns' natural order is
-    NOT guaranteed; callers pass a unique order key (md5 of seed‖id).
+    Callers pass a unique order key (md5 of seed‖id).
     """
     group = _cols(group)
     b = F.substring(F.col(order_hex), 1, prefix_len)
@@ -56,6 +55,25 @@ def group_position(df: DataFrame, group, order_hex: str, prefix_len: int = 2,
              .drop("__b", "__off"))
 
 
+def ordered_position(df: DataFrame, group, order: list, bucket, name: str = "pos") -> DataFrame:
+    """1-based position inside ``group`` by the column tuple ``order``.
+
+    ``bucket`` must be an expression that is non-decreasing in ``order``
+    (e.g. the leading order column).  As in ``group_position``, the window
+    that assigns positions runs per (group, bucket) and the bucket offsets
+    come from the small per-bucket count table.
+    """
+    group = _cols(group)
+    x = df.withColumn("__b", bucket if isinstance(bucket, Column) else F.col(bucket))
+    counts = x.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    rn = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order))
+    return (x.join(offs, [*group, "__b"], "inner")
+             .withColumn(name, (F.col("__off") + rn).cast("long"))
+             .drop("__b", "__off"))
+
+
 def offset_pairs(chains: DataFrame, group: str, pos: str, node: str, max_k: int,
                  sep_name: str = "separation") -> DataFrame:
     """(node_i, node_{i+k}) for k = 1..max_k along each ordered chain.

@@ -1,4 +1,4 @@
 """Named end-to-end queries.  Importing registers them all."""
 
-from . import corpus, labels, metrics, splits  # noqa: F401
+from . import corpus, graph, labels, metrics, splits  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
