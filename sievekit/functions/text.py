@@ -45,11 +45,18 @@ def word_count(text) -> Column:
 
 
 def kgrams(tokens, k: int = 3, sep: str = " ") -> Column:
-    """Contiguous k-grams of a token array (array<string>), empty when too short."""
+    """Contiguous k-grams of a token array (array<string>), empty when too short.
+
+    Built from k shifted slices combined with ``zip_with`` so the token array
+    is referenced a constant number of times (a per-gram ``slice`` inside a
+    lambda would re-evaluate the tokeniser once per gram).
+    """
     t = _c(tokens)
-    n = F.size(t) - F.lit(k - 1)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(0)))
-    grams = F.transform(idx, lambda i: F.array_join(F.slice(t, i, k), sep))
+    n = F.greatest(F.size(t) - F.lit(k - 1), F.lit(0))
+    shifted = [F.slice(t, j + 1, n) for j in range(k)] if k > 1 else [t]
+    grams = shifted[0]
+    for nxt in shifted[1:]:
+        grams = F.zip_with(grams, nxt, lambda a, b: F.concat(a, F.lit(sep), b))
     return F.when(n > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
