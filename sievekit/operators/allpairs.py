@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import cut_lineage
+from ..session import cut_lineage
 
 TILE = 2048
+MIN_BLOCKS = 8          # at least B(B+1)/2 = 36 tiles, so small inputs still spread over tasks
 
 
-def _tiles(vecs: DataFrame, id_col: str, vec_col: str, tile: int, extra: list[str] = ()) -> DataFrame:
-    n = vecs.count()
-    nb = max(1, math.ceil(n / tile))
+def _tiles(vecs: DataFrame, id_col: str, vec_col: str, tile: int, extra: list[str] = (),
+           n: int | None = None) -> DataFrame:
+    n = vecs.count() if n is None else n
+    nb = max(1, min(n, max(math.ceil(n / tile), MIN_BLOCKS)))
     x = vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                     *extra, F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("__o"))
@@ -144,45 +146,62 @@ def cosine_mst(vecs: DataFrame, id_col: str, vec_col: str, tile: int = TILE) ->
         ok = (ia[:, None] < ib[None, :]) if same else np.ones((len(ia), len(ib)), bool)
         ok &= ca[:, None] != cb[None, :]
         w = np.where(ok & ~np.isnan(s), 1.0 - s, np.inf)
-        rows = []
+        out = []
         for rid, rc, mat, other in ((ia, ca, w, ib), (ib, cb, w.T, ia)):
             if mat.size == 0:
                 continue
-            mn = mat.min(axis=1)
-            for r in np.nonzero(np.isfinite(mn))[0]:
-                cols = np.nonzero(mat[r] == mn[r])[0]
-                uv = min((min(rid[r], other[c]), max(rid[r], other[c])) for c in cols)
-                rows.append((rc[r], mn[r], uv[0], uv[1]))
-        return pd.DataFrame(rows, columns=["c", "w", "u", "v"]) if rows else \
-            pd.DataFrame({"c": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64"),
-                          "u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
-
+            order = np.argsort(other, kind="stable")    # equal weights → smallest partner id,
+            m, oth = mat[:, order], other[order]         # which is also the smallest (u, v)
+            k = np.argmin(m, axis=1)
+            best = m[np.arange(len(rid)), k]
+            keep = np.isfinite(best)
+            p = oth[k][keep]
+            r = rid[keep]
+            out.append(pd.DataFrame({"c": rc[keep].astype("int64"), "w": best[keep],
+                                     "u": np.minimum(r, p).astype("int64"), "v": np.maximum(r, p).astype("int64")}))
+        if not out:
+            return pd.DataFrame({"c": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64"),
+                                 "u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
+        return pd.concat(out)
+
+    n = base.count()
+    rnd = 0
     while True:
+        rnd += 1
         x = base.join(comp, "id")
-        cand = _tiles(x, "id", "vec", tile, extra=["comp"]).groupBy("b1", "b2").applyInPandas(kernel, EDGE_SCHEMA)
-        picked = (cand.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("m"))
-                      .select("m.u", "m.v", "m.w").distinct())
-        picked = cut_lineage(picked)
+        cand = _tiles(x, "id", "vec", tile, extra=["comp"], n=n).groupBy("b1", "b2").applyInPandas(kernel, EDGE_SCHEMA)
+        picked = cut_lineage(cand.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("m"))
+                             .select("c", "m.u", "m.v", "m.w"))
         if picked.isEmpty():
             break
-        mst = picked if mst is None else cut_lineage(mst.unionByName(picked).distinct())
-        comp = cut_lineage(_merge_components(comp, picked))
+        edges = picked.select("u", "v", "w")
+        mst = edges.distinct() if mst is None else mst.unionByName(edges).distinct()
+        comp = cut_lineage(_merge_components(comp, picked))      # self-joined next round
+        mst = cut_lineage(mst)
     return mst
 
 
 def _merge_components(comp: DataFrame, picked: DataFrame) -> DataFrame:
-    """Relabel components joined by ``picked`` edges with their minimum label."""
-    cu = comp.select(F.col("id").alias("u"), F.col("comp").alias("a"))
-    cv = comp.select(F.col("id").alias("v"), F.col("comp").alias("b"))
-    links = picked.join(cu, "u").join(cv, "v").select("a", "b")
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    lab = comp.select(F.col("comp").alias("a")).distinct().withColumn("l", F.col("a"))
+    """Borůvka contraction: every component points to the component across its
+    picked edge; a mutual pair keeps the smaller label as root; pointer
+    jumping (parent := parent(parent)) reaches the roots in O(log n) rounds."""
+    cu = comp.select(F.col("id").alias("u"), F.col("comp").alias("cu"))
+    cv = comp.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
+    e = picked.join(cu, "u").join(cv, "v")
+    # component c picked edge (u, v): its parent is the component on the far end
+    parent = e.select("c", F.when(F.col("cu") == F.col("c"), F.col("cv")).otherwise(F.col("cu")).alias("p"))
+    # mutual picks (c → p and p → c) are 2-cycles: the smaller label becomes the root
+    mutual = parent.join(parent.select(F.col("p").alias("c"), F.col("c").alias("p")), ["c", "p"], "left_semi")
+    roots = mutual.filter(F.col("c") < F.col("p")).select("c", F.lit(True).alias("root"))
+    parent = (parent.join(roots, "c", "left")
+                    .select("c", F.when(F.col("root"), F.col("c")).otherwise(F.col("p")).alias("p")))
+    parent = cut_lineage(parent)
     while True:
-        nl = (links.join(lab.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b")
-                   .groupBy("a").agg(F.min("lb").alias("lb")))
-        upd = cut_lineage(lab.join(nl, "a", "left")
-                          .select("a", "l", F.least("l", F.coalesce("lb", "l")).alias("l2")))
-        if upd.filter(F.col("l2") < F.col("l")).isEmpty():
+        nxt = (parent.join(parent.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
+                     .select("c", F.coalesce("pp", "p").alias("p2"), "p"))
+        nxt = cut_lineage(nxt)
+        if nxt.filter(F.col("p2") != F.col("p")).isEmpty():
             break
-        lab = upd.select("a", F.col("l2").alias("l"))
-    return comp.join(lab.select(F.col("a").alias("comp"), "l"), "comp").select("id", F.col("l").alias("comp"))
+        parent = nxt.select("c", F.col("p2").alias("p"))
+    return (comp.join(parent.select(F.col("c").alias("comp"), F.col("p").alias("root")), "comp", "left")
+                .select("id", F.coalesce("root", "comp").alias("comp")))

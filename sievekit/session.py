@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpointed RDDs carry preferred locations; do not idle waiting for them
+    "spark.locality.wait": "0s",
 }
 
 
@@ -61,6 +63,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Cut lineage with a table written into the shared checkpoint folder.
+
+    Survives executor loss like ``checkpoint()``, but the re-read table gets
+    its statistics from the real file sizes.  ``Dataset.checkpoint`` keeps the
+    original plan's size estimate, and in iterative joins that estimate is
+    multiplied round after round until planning itself takes minutes."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) and compute once, for a result that is
+    reused by several later actions.  Not for loop state: cached plans are
+    matched against every later plan, and loop state that nests previous
+    cached plans makes planning time explode — loops use ``cut_lineage``."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
