@@ -203,7 +203,8 @@ def random_negative_pairs(spark, sf_dir):
     candidate at least 600 remain; the first 600 by (shift, position) are
     taken with a distributed top-n.
     """
-    op = offset_pairs(spark, sf_dir)
+    from ..session import cut_lineage
+    op = cut_lineage(offset_pairs(spark, sf_dir))          # reused by four actions below
     v = op.select(F.col("mol1").alias("n")).intersect(op.select(F.col("mol2").alias("n")))
     r = splits.shuffle_positions(v, "n", seed="neg").withColumn("pos", F.col("pos") - 1)
     m = v.count()
@@ -240,7 +241,8 @@ SELECT a.mol1, b.mol2, '-1' AS separation FROM a JOIN b USING (r) WHERE r <= (SE
 """)
 def column_shuffle_pairs(spark, sf_dir):
     """T4: null pairs from independently shuffled columns (separation '-1')."""
-    return _null_pairs(offset_pairs(spark, sf_dir))
+    from ..session import cut_lineage
+    return _null_pairs(cut_lineage(offset_pairs(spark, sf_dir)))
 
 
 def tree_edges(spark, sf_dir):

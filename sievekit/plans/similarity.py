@@ -232,8 +232,11 @@ def similarity_corr(spark, sf_dir):
 
 
 def long_measures(spark, sf_dir):
+    """(separation, measure, x) written once to the shared folder: the summary
+    and density plans read it from several branches."""
+    from ..session import cut_lineage
     t = similarity_table(spark, sf_dir)
-    return t.unpivot(["separation"], MEASURES, "measure", "x")
+    return cut_lineage(t.unpivot(["separation"], MEASURES, "measure", "x"))
 
 
 @query("similarity_summary", oracle=f"""
