@@ -66,7 +66,35 @@ SELECT doc_id, key, lang, source FROM first f
 WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.key = f.key)
 """)
 def decontaminate_exact(spark, sf_dir):
-    """W1 + F6-style key + J4: dedup the odd half, remove 4 held-out key sets."""
+    """W1 + text key + J4: keep the first odd-half document per key unless the
+    key occurs in any of the four held-out sets (even-half en / fr / de+es,
+    and ``benchmark``).
+
+    One scan of ``documents`` and ONE keyed aggregate: every row contributes
+    to ``min_by(odd row, doc_id)`` (even rows carry a NULL ordering and are
+    ignored) and to a held-out flag; the partial aggregate collapses hot keys
+    on each mapper, so the anti join of J4 costs no extra shuffle.  The
+    two-step form (``first_per_key`` + ``anti_join_many``) computes the same.
+    """
+    k = keyed_documents(spark, sf_dir)
+    odd = F.col("doc_id") % 2 == 1
+    held_groups = [["en"], ["fr"], ["de", "es"]]
+    # a NULL key never matches a held-out key (SQL NOT EXISTS semantics)
+    held = ~odd & F.col("lang").isin(*[x for g in held_groups for x in g]) & F.col("key").isNotNull()
+    docs = k.select("key", F.struct("doc_id", "lang", "source").alias("row"),
+                    F.when(odd, F.col("doc_id")).alias("ord"), held.alias("held"))
+    bench = table(spark, sf_dir, "benchmark").select(
+        text_key("text").alias("key"), F.lit(None).cast(docs.schema["row"].dataType).alias("row"),
+        F.lit(None).cast("long").alias("ord"), F.col("text").isNotNull().alias("held"))
+    agg = docs.unionByName(bench).groupBy("key").agg(
+        F.min_by("row", "ord").alias("first"), F.max("held").alias("held"))
+    out = agg.filter(F.col("first").isNotNull() & ~F.col("held"))
+    return out.select(F.col("first.doc_id").alias("doc_id"), "key", F.col("first.lang").alias("lang"),
+                      F.col("first.source").alias("source"))
+
+
+def decontaminate_exact_two_step(spark, sf_dir):
+    """Reference form of the same query: keep-first, then anti join the union of the four key sets."""
     k = keyed_documents(spark, sf_dir)
     odd = first_per_key(k.filter(F.col("doc_id") % 2 == 1), "key", "doc_id")
     even = k.filter(F.col("doc_id") % 2 == 0)

@@ -165,3 +165,10 @@ def test_group_position_matches_row_number(spark):
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h")))
     bad = ours.join(ref, ["g", "id"]).filter(F.col("pos") != F.col("rn")).count()
     assert bad == 0
+
+
+def test_decontaminate_single_aggregate_equals_two_step(spark):
+    from sievekit.plans import corpus
+    a = corpus.decontaminate_exact(spark, "/root/testdata/sf0.001")
+    b = corpus.decontaminate_exact_two_step(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
