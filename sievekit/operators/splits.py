@@ -42,7 +42,8 @@ def rarest_label(long: DataFrame, id_col: str, label: str) -> DataFrame:
     aggregate (bounded by the label vocabulary)."""
     cnt = long.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     rar = cnt.withColumn("__r", F.row_number().over(Window.orderBy("__n", label))).drop("__n")
-    return (long.join(F.broadcast(rar), label)
+    from .joins import bounded_broadcast
+    return (long.join(bounded_broadcast(rar, 100_000), label)
                 .groupBy(id_col).agg(F.min_by(F.col(label), F.col("__r")).alias("stratum")))
 
 

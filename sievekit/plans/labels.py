@@ -105,7 +105,7 @@ def label_array_unnest(spark, sf_dir):
     """
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
-    n_labels = len(label_names(d))
+    n_labels = len(label_names(d))                          # raises above MAX_LABELS: d is bounded
     arr = (ol.join(F.broadcast(d), "label")
              .groupBy("o_orderkey").agg(F.collect_set("label_idx").alias("idx"))
              .select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)),
@@ -300,7 +300,7 @@ def class_assign_frequent(spark, sf_dir):
     """The order's globally most frequent label; top-3 cut variant → 'Other'."""
     ol = order_labels(spark, sf_dir)
     fr = clean.top_frequent(ol, "label", MAX_LABELS).select("label", F.col("freq_rank").alias("rk"))
-    j = ol.join(F.broadcast(fr), "label")
+    j = ol.join(F.broadcast(fr), "label")                  # fr is limited to MAX_LABELS rows
     return j.groupBy("o_orderkey").agg(
         F.min_by("label", "rk").alias("assigned"),
         F.coalesce(F.min_by("label", F.when(F.col("rk") <= 3, F.col("rk"))), F.lit("Other"))
@@ -314,7 +314,8 @@ def class_assign_first(spark, sf_dir):
     """First positive in label order."""
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
-    return ranking.assign_by_rank(ol.join(F.broadcast(d), "label"), "o_orderkey", "label", "label_idx")
+    return ranking.assign_by_rank(ol.join(joins.bounded_broadcast(d, MAX_LABELS), "label"),
+                                  "o_orderkey", "label", "label_idx")
 
 
 @query("class_assign_second", oracle=f"""
@@ -328,7 +329,8 @@ def class_assign_second(spark, sf_dir):
     """Second positive when several, else the only one."""
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
-    return ranking.assign_second(ol.join(F.broadcast(d), "label"), "o_orderkey", "label", "label_idx")
+    return ranking.assign_second(ol.join(joins.bounded_broadcast(d, MAX_LABELS), "label"),
+                                 "o_orderkey", "label", "label_idx")
 
 
 @query("dataset_shape", oracle=f"""

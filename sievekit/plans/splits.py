@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import clean, metrics, splits
+from ..operators import clean, joins, metrics, splits
 from ..sources import table
 from .labels import OL, order_labels
 from .registry import query
@@ -95,7 +95,7 @@ def stratified_split_max(spark, sf_dir):
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
     n_labels = d.count()
-    y = (ol.join(F.broadcast(d), "label").groupBy("o_orderkey")
+    y = (ol.join(joins.bounded_broadcast(d, 100_000), "label").groupBy("o_orderkey")
            .agg(F.collect_set("label_idx").alias("idx"))
            .select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)),
                                              lambda i: F.array_contains("idx", i).cast("int")).alias("y")))

@@ -74,13 +74,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) and compute once, for a result that is
-    reused by several later actions.  Not for loop state: cached plans are
-    matched against every later plan, and loop state that nests previous
-    cached plans makes planning time explode — loops use ``cut_lineage``."""
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
