@@ -307,15 +307,28 @@ def similarity_study(spark, sf_dir):
 @query("minhash_pairs")
 def minhash_pairs(spark, sf_dir):
     """MinHash-LSH near-duplicate candidates (3-gram sets, Jaccard distance
-    < 0.4) with Spark ML — approximate by design, so rows-only."""
+    < 0.4) with Spark ML — approximate by design, so rows-only.
+
+    Identical sets are collapsed to one signature first, so a large group of
+    copies cannot flood one LSH bucket; copies are paired with each other
+    (distance 0) and expanded to documents only at the end."""
     from pyspark.ml.feature import HashingTF, MinHashLSH
     from ..session import cut_lineage
     g = doc_grams(spark, sf_dir).filter(F.size("grams") > 0)
+    g = g.withColumn("sig", F.md5(F.array_join(F.array_sort("grams"), "\u0001")))
+    members = g.select("doc_id", "sig")
+    sets = g.groupBy("sig").agg(F.first("grams").alias("grams"))
     # materialise the features: the LSH hash UDF must never see an empty vector
     tf = cut_lineage(HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << 18,
-                               binary=True).transform(g))
+                               binary=True).transform(sets))
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=8, seed=42).fit(tf)
     j = model.approxSimilarityJoin(tf, tf, 0.4, distCol="jaccard_distance")
-    return (j.select(F.col("datasetA.doc_id").alias("doc_a"), F.col("datasetB.doc_id").alias("doc_b"),
+    sp = (j.select(F.col("datasetA.sig").alias("sa"), F.col("datasetB.sig").alias("sb"), "jaccard_distance")
+           .filter(F.col("sa") < F.col("sb")))
+    same = sets.select(F.col("sig").alias("sa"), F.col("sig").alias("sb"), F.lit(0.0).alias("jaccard_distance"))
+    pairs = sp.unionByName(same)
+    out = (pairs.join(members.select(F.col("doc_id").alias("doc_a"), F.col("sig").alias("sa")), "sa")
+                .join(members.select(F.col("doc_id").alias("doc_b"), F.col("sig").alias("sb")), "sb"))
+    out = out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"),
                      "jaccard_distance")
-             .filter(F.col("doc_a") < F.col("doc_b")))
+    return out.filter(F.col("doc_a") < F.col("doc_b")).dropDuplicates(["doc_a", "doc_b"])
