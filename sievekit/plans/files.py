@@ -106,11 +106,11 @@ SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, p_retailprice
        p_brand AS brand_from_tsv FROM part
 """)
 def delimited_roundtrip(spark, sf_dir):
-    """S1 + S2 + S7 + S8 + S10 + S12: part exported as CSV with a header (S8),
+    """S1 + S2 + S7 + S8 + S9 + S10 + S12: part exported as CSV with a header (S8),
     the header peeked (S12) and re-read with an explicit schema and declared
     fields (S1); a headerless TSV re-read with assigned names (S2); an id list
     and a numeric matrix snapshotted separately (S10) and re-aligned by exact
-    input position (S7)."""
+    input position (S7); each order's part keys also go to a ragged TSV (S9)."""
     pa = table(spark, sf_dir, "part")
     base = scratch_path(spark, "delim")
     files.write_delimited(pa, f"{base}/csv")
@@ -125,4 +125,9 @@ def delimited_roundtrip(spark, sf_dir):
     files.snapshot(src.select("p_partkey"), f"{base}/ids")
     files.snapshot(src.select(F.col("p_retailprice").alias("retail_from_matrix")), f"{base}/matrix")
     mat = files.zip_by_position(spark.read.parquet(f"{base}/ids"), spark.read.parquet(f"{base}/matrix"))
+    # Ragged lists (each order's part keys — small per-order groups) as one
+    # column per list position
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lists = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("keys"))
+    files.write_ragged(lists, "l_orderkey", "keys", f"{base}/ragged")
     return back.join(mat, "p_partkey").join(tsv, "p_partkey")

@@ -60,7 +60,8 @@ def write_ragged(df: DataFrame, group: str, list_col: str, path: str, prefix: st
     """One row per group, one column per list position (NULL padded), TSV.
     Returns the number of position columns (the longest list)."""
     width = df.agg(F.max(F.size(list_col))).first()[0] or 0
-    cols = [F.element_at(F.col(list_col), i + 1).cast("string").alias(f"{prefix}{i + 1}") for i in range(width)]
+    cols = [F.try_element_at(F.col(list_col), F.lit(i + 1)).cast("string").alias(f"{prefix}{i + 1}")
+            for i in range(width)]
     df.select(group, *cols).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
     return width
 

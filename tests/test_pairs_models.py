@@ -139,3 +139,23 @@ def test_group_split_keeps_groups_whole(spark):
     assert g.g.is_unique and set(g.role) <= {"train", "val", "test"}
     share = g.groupby("role").n.sum() / g.n.sum()
     assert share["train"] <= 0.8 + 1e-9
+
+
+def test_append_resume_skips_existing_reps(spark, tmp_path):
+    from sievekit.sources.files import append_new_reps
+    p = str(tmp_path / "res")
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0)], "rep long, v double")
+    append_new_reps(spark, df, p)
+    more = spark.createDataFrame([(1, 9.0), (2, 3.0)], "rep long, v double")
+    out = sorted((r.rep, r.v) for r in append_new_reps(spark, more, p).collect())
+    assert out == [(0, 1.0), (1, 2.0), (2, 3.0)]
+
+
+def test_ragged_sink_pads_with_nulls(spark, tmp_path):
+    from sievekit.sources.files import write_ragged
+    p = str(tmp_path / "rag")
+    df = spark.createDataFrame([("a", [1, 2, 3]), ("b", [4])], "g string, xs array<int>")
+    assert write_ragged(df, "g", "xs", p) == 3
+    back = {r.g: (r.item_1, r.item_2, r.item_3)
+            for r in spark.read.option("header", True).option("sep", "\t").csv(p).collect()}
+    assert back == {"a": ("1", "2", "3"), "b": ("4", None, None)}
