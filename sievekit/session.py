@@ -27,6 +27,22 @@ DEFAULT_CONF = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sievekit`` importable on every Python worker (Arrow UDF kernels are
+    pickled by module reference): zip the package once per SparkContext and
+    register it with ``addPyFile``, which Spark distributes to executors."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievekit_shipped", False):
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="sievekit-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "sievekit"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    sc._sievekit_shipped = True
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "sievekit", extra: dict | None = None) -> SparkSession:
     """Local/test session.  On a cluster the submitter's session is used as-is."""
@@ -42,6 +58,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
