@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, sharding  # noqa: F401
+from . import licenses, quality, sharding, substring_dedup  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
