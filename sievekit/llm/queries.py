@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, near_dedup, quality, sharding, substring_dedup  # noqa: F401
+from . import language_id, licenses, near_dedup, quality, sharding, substring_dedup, word_bpe  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
