@@ -6,7 +6,8 @@ configuration is a multiset of lengths that fits one sequence.  The program
 weights: every round a knapsack dynamic program finds the configuration of
 largest price, the (fractional) solution takes as much of it as the unserved demand
 allows, and the lengths in it lose price in proportion.  The solution is rounded down
-to whole sequences, and what is left over goes, longest first, to the fullest open
+to whole sequences.  The pieces left over are priced and packed likewise in whole copies
+while that fills sequences, and the rest goes, longest first, to the fullest open
 sequence that takes it (best fit).
 
 The plan is a list of (configuration, copies).  Pieces are ranked inside their
@@ -36,7 +37,8 @@ from .registry import query
 from .word_bpe import CHUNK_BYTES, TABLE_WORDS, load_tokenizer
 
 CAPACITY = 2048
-ROUNDS = 400
+ROUNDS = 150
+REPAIRS = 400
 STEP = 0.5
 END_ID = 0
 
@@ -197,6 +199,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
         copies = int(amount + 1e-9)
         if copies:
             take(config, copies)
+    # what rounding left over: the same pricing with whole copies
+    for _ in range(REPAIRS):
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            break
+        found = knapsack((lengths * weight)[live], lengths[live], left[live], capacity)
+        config = {int(live[j]): n for j, n in found.items()}
+        if sum(int(lengths[j]) * n for j, n in config.items()) < capacity:
+            break
+        copies = min(int(left[j]) // n for j, n in config.items())
+        for j, n in config.items():
+            weight[j] *= np.exp(-STEP * n * copies / demand[j])
+        take(config, copies)
     # the rest: best fit by decreasing length, equal sequences handled together
     spare: dict[int, list[list]] = {}       # free space -> [configuration, copies]
     for j in np.argsort(-lengths):
