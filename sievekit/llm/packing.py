@@ -38,13 +38,14 @@ from .word_bpe import CHUNK_BYTES, TABLE_WORDS, load_tokenizer
 
 CAPACITY = 2048
 ROUNDS = 150
-REPAIRS = 400
+REPAIRS = 100
+TILT = 0.5
 STEP = 0.5
 END_ID = 0
 
 # fixed values: white space beyond ASCII, and separators, where a cut could change the ids
-ODD_SPACE = ("\x1c\x1d\x1e\x1f\x85\xa0 ᠎           "
-             "    　")
+ODD_SPACE = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005"
+             "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 class UnitTable:
@@ -182,7 +183,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     for j in np.flatnonzero(lengths == capacity):
         take({int(j): 1}, int(left[j]))
     # multiplicative weights on the covering program; amounts are fractional
-    weight, rest, amounts = np.ones(len(lengths)), left.astype(float), []
+    # long pieces start dearer: short ones fit anywhere and should stay for the gaps
+    weight, rest, amounts = (lengths / capacity) ** TILT, left.astype(float), []
     for _ in range(rounds):
         live = np.flatnonzero(rest >= 1)
         if not len(live):
@@ -206,8 +208,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             break
         found = knapsack((lengths * weight)[live], lengths[live], left[live], capacity)
         config = {int(live[j]): n for j, n in found.items()}
-        if sum(int(lengths[j]) * n for j, n in config.items()) < capacity:
-            break
         copies = min(int(left[j]) // n for j, n in config.items())
         for j, n in config.items():
             weight[j] *= np.exp(-STEP * n * copies / demand[j])
