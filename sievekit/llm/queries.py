@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, near_dedup, packing, quality, sharding, spotsigs, substring_dedup, word_bpe  # noqa: F401
+from . import language_id, licenses, lm_scoring, near_dedup, packing, quality, sharding, spotsigs, substring_dedup, word_bpe  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
