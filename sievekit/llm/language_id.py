@@ -139,10 +139,10 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     return Model(counts)
 
 
-def _predict_rows(model: Model, names: list[str], lead: float):
+def _predict_rows(model: Model, names: list[str], lead: float, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offs in text_slices(batch.column("_t")):
+            for a, b, data, offs in text_slices(batch.column(text)):
                 n = b - a
                 bucket, row = trigrams(data, offs)
                 grams = np.bincount(row, minlength=n)
@@ -167,12 +167,13 @@ def _predict_rows(model: Model, names: list[str], lead: float):
     return run
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", lead: float = AMBIGUOUS_LEAD) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", lead: float = AMBIGUOUS_LEAD,
+            keep_text: bool = True) -> DataFrame:
     """Add lang_pred, score (0 to 1) and ambiguous; only the text is looked at."""
-    names = [c for c in docs.columns if c not in {*ADDED, text}]
+    names = [c for c in docs.columns if c not in ADDED and (keep_text or c != text)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-    return docs.select(*names, F.col(text).alias("_t")).mapInArrow(
-        _predict_rows(model, names, lead), f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(*names, *([] if keep_text else [text])).mapInArrow(
+        _predict_rows(model, names, lead, text), f"{fields}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -185,5 +186,5 @@ def op3_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole document, learned from the documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.filter(~held_out()))
-    found = predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    found = predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

@@ -8,7 +8,8 @@ Jensen-Shannon distance (base 2, 0 to 1), provided that it is long enough to be
 
 Cases: a null or empty text has zero counts and fails the base rule; rows with a
 null language are judged but shape no reference; without any reference the
-method rejects nothing; repeated rows are judged alike; other columns pass.
+method rejects nothing; repeated rows are judged alike; an empty table gives no rows;
+other columns pass, those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from ..sources.tables import table
 from .native import split_words, text_of
 from .registry import query
@@ -41,14 +41,14 @@ BINS = [*CLASSES, "space", "wide", "other"]
 
 
 def measure(docs: DataFrame, window: int = 5) -> DataFrame:
-    """Counts and histograms of every text, beside the input columns other than ``text``.
+    """Counts and histograms of every text, beside the input columns.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_hist
     and word_hist.  Everything stays inside one row: windows are hashed, and only where
     two are equal are (hash, position) pairs sorted to find the words they cover.
     """
     keep = [c for c in docs.columns if c not in
-            {"text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"}]
+            {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"}]
     d = docs.select(*keep, text_of().alias("_t"))
     d = d.select("*", split_words(F.col("_t")).alias("_w"),
                  F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
@@ -133,9 +133,21 @@ def judge(measured: DataFrame, refs: list, max_char: float = MAX_CHAR_DISTANCE,
     return d.select("*", (~F.col("base_failed") & verdict).alias("kept")).drop("_pc", "_pw")
 
 
+def accepted(judged: DataFrame) -> DataFrame:
+    """The kept rows.
+
+    A filter on the verdict would be pushed through the projections below it, and its
+    expression copied at every level; a row number in the same projection stops that."""
+    return (judged.withColumn("_row", F.monotonically_increasing_id())
+            .filter("kept and _row >= 0").drop("_row"))
+
+
 def quality_rules(docs: DataFrame, lang: str = "lang") -> DataFrame:
-    """Measure all rows, build the references from all of them, and judge each."""
-    measured = cut_lineage(measure(docs))
+    """Build the references from all rows, and judge each.
+
+    The first pass computes histograms only; the second one measures and judges a row where it
+    stands, so nothing is shuffled but partial sums."""
+    measured = measure(docs)
     return judge(measured, references(measured, lang))
 
 

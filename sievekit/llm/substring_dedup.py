@@ -179,25 +179,29 @@ def _cut_rows(window: int, names: list[str]):
                         continue
                     removed.append(int(gone[f:g].sum()))
                     if not removed[-1]:
-                        texts.append(b" ".join(raw[offs[k]:offs[k + 1]].split()).decode("utf-8"))
+                        texts.append(raw[offs[k]:offs[k + 1]].decode("utf-8"))
                     else:
                         texts.append(b" ".join(raw[w.lo[i]:w.hi[i]] for i in range(f, g) if not gone[i]).decode("utf-8"))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(n) for n in names], pa.array(w.counts.astype(np.int64)),
                      pa.array(removed, pa.int64()), pa.array(texts, pa.string()),
-                     pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts], pa.string())],
+                     pa.array([hashlib.sha256(b" ".join(t.encode("utf-8").split())).hexdigest() for t in texts],
+                              pa.string())],
                     names=[*names, "n_words", "n_removed", "kept_text", "kept_sha256"])
     return run
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     window: int = WINDOW, period: int = PERIOD) -> DataFrame:
-    """Add n_words, n_removed, kept_text (kept words joined by one space) and kept_sha256."""
+    """The columns other than the text, with n_words, n_removed, kept_text and kept_sha256.
+
+    kept_text is the text where nothing is removed, else the kept words joined by one space;
+    kept_sha256 is always of the kept words joined by one space."""
     if not 1 <= period <= window:
         raise ValueError("the period lies between 1 and the window")
     added = {"n_words", "n_removed", "kept_text", "kept_sha256"}
-    names = [c for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c not in {*added, text}]
     source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
 
     sequences = cut_lineage(source.mapInArrow(_sequences, "_id long, n_words long, s1 long, s2 long"))
