@@ -1,9 +1,9 @@
 """Session construction and shared-storage helpers.
 
-Cluster rule: lineage is cut with ``DataFrame.checkpoint()`` into the shared
-folder named by ``spark.checkpoint.dir``.  We read that setting from the
-session and only fall back to a scratch folder when it is unset (tests and
-local runs); we never use ``localCheckpoint``.
+Cluster rule: lineage is cut with a table written into the shared folder named by
+``spark.checkpoint.dir``.  We read that setting from the session; where it is
+unset, a cluster session is refused and a local one (tests) gets a scratch folder.
+``localCheckpoint`` is never used.
 """
 
 from __future__ import annotations
@@ -67,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="sievekit-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -79,7 +81,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written into the shared checkpoint folder.
 
     Survives executor loss like ``checkpoint()``, but the re-read table gets
