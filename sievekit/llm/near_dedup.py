@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     stars = cut_lineage(banded.join(heads, ["band", "value"]).filter("a < rep")
                         .select("a", F.col("rep").alias("b")).distinct())
     member = cut_lineage(components(stars).select(F.col("node").alias("_m"), F.col("label").alias("cluster")))
-    placed = hash_ranks(member, ["cluster"], ["_m"], "rank", member.count()) \
+    placed = hash_ranks(member, ["cluster"], ["_m"], "rank", member.count(), per_bucket=tile) \
         .select("_m", "cluster", F.floor(F.col("rank") / tile).cast("int").alias("tile"))
     placed = cut_lineage(placed)
     tiles = placed.groupBy("cluster").agg(F.max("tile").alias("_last"))
