@@ -36,7 +36,7 @@ from .blocks import WINDOW_BASE, find_words, mix, span_hashes, text_slices, wind
 from .registry import query
 
 ALPHA = 0.4
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 LEAST_BATCH_BYTES = 1 << 20
 ORDER = 2
 
@@ -114,7 +114,9 @@ def _score(parts: int, n_corpus: int):
         # counts of the other documents: totals less the document's own
         both = np.concatenate([row, row[has]]) * max(len(keys), 1) + inverse
         _, place, own = np.unique(both, return_inverse=True, return_counts=True)
+        del both, got
         rest = total[inverse] - own[place]
+        del place, own, inverse
         word = rest[:m]
         pair = np.zeros(m)
         pair[has] = rest[m:]
