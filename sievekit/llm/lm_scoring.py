@@ -36,7 +36,7 @@ from .blocks import WINDOW_BASE, find_words, mix, span_hashes, text_slices, wind
 from .registry import query
 
 ALPHA = 0.4
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 8 << 20
 LEAST_BATCH_BYTES = 1 << 20
 ORDER = 2
 
@@ -71,6 +71,53 @@ def _distinct(texts: pa.Array, parts: int):
     return keys, n, np.append(bounds, len(keys)), inverse, has, row, counts
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """Integers as byte planes: the high planes are nearly constant and pack well."""
+    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _unplanes(b: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
+def _zip(x: np.ndarray, width: int) -> bytes:
+    return pa.compress(_planes(x, width), codec="zstd", asbytes=True)
+
+
+def _unzip(b: bytes, n: int, width: int) -> np.ndarray:
+    return _unplanes(pa.decompress(b, decompressed_size=n * width, codec="zstd", asbytes=True), width)
+
+
+def _keys_out(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def _keys_in(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(b, 8), dtype=np.uint64)
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, compressed rows): the rows of one Arrow batch, by the batch that they are dealt to."""
+    option = pa.ipc.IpcWriteOptions(compression="zstd")
+    for rows in batches:
+        to = rows.column("batch").to_numpy()
+        order = np.argsort(to, kind="stable")
+        rows, to = rows.take(pa.array(order)).drop_columns(["batch"]), to[order]
+        edge = np.flatnonzero(np.diff(to, prepend=-1)).tolist() + [len(to)]
+        out = []
+        for a, b in zip(edge, edge[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=option) as w:
+                w.write_batch(rows.slice(a, b - a))
+            out.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]], pa.int32()), pa.array(out, pa.binary())],
+                                         names=["batch", "rows"])
+
+
+def _undeal(group: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in group.column("rows").to_pylist()])
+
+
 def _size_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = words = 0
     for batch in batches:
@@ -83,33 +130,34 @@ def _size_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _request(parts: int):
     def run(group: pa.Table) -> pa.Table:
         batch = group.column("batch")[0].as_py()
-        keys, n, bounds, *_ = _distinct(group.column("_t").combine_chunks(), parts)
+        keys, n, bounds, *_ = _distinct(_undeal(group).column("_t").combine_chunks(), parts)
         full = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
         return pa.table({
             "part": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int32()),
-            "keys": pa.array([keys[bounds[p]:bounds[p + 1]].tobytes() for p in full], pa.binary()),
-            "counts": pa.array([n[bounds[p]:bounds[p + 1]].astype("<u4").tobytes() for p in full], pa.binary())})
+            "keys": pa.array([_keys_out(keys[bounds[p]:bounds[p + 1]]) for p in full], pa.binary()),
+            "counts": pa.array([_zip(n[bounds[p]:bounds[p + 1]], 8) for p in full], pa.binary())})
     return run
 
 
 def _count(group: pa.Table) -> pa.Table:
     """Sum the blocks of one hash partition and give every entry its total."""
-    keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in group.column("counts").to_pylist()])
+    keys = [_keys_in(x) for x in group.column("keys").to_pylist()]
+    n = np.concatenate([_unzip(x, len(k), 8) for x, k in zip(group.column("counts").to_pylist(), keys)])
     _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=n)[inverse].astype("<u8")
+    total = np.bincount(inverse, weights=n)[inverse].astype(np.uint64)
     ends = np.cumsum([len(k) for k in keys])
     return pa.table({
         "batch": group.column("batch"), "part": group.column("part"),
-        "totals": pa.array([t.tobytes() for t in np.split(total, ends[:-1])], pa.binary())})
+        "totals": pa.array([_zip(t, 8) for t in np.split(total, ends[:-1])], pa.binary())})
 
 
 def _score(parts: int, n_corpus: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs.column("_t").combine_chunks()
-        keys, _, _, inverse, has, row, counts = _distinct(texts, parts)
+        docs = _undeal(docs)
+        keys, _, bounds, inverse, has, row, counts = _distinct(docs.column("_t").combine_chunks(), parts)
         got = dict(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()))
-        total = np.concatenate([np.frombuffer(got[p], "<u8") for p in sorted(got)] or [np.zeros(0, "<u8")]).astype(np.float64)
+        total = np.concatenate([_unzip(got[p], bounds[p + 1] - bounds[p], 8) for p in sorted(got)]
+                               or [np.zeros(0, "<u8")]).astype(np.float64)
         m = len(row)
         # counts of the other documents: totals less the document's own
         both = np.concatenate([row, row[has]]) * max(len(keys), 1) + inverse
@@ -144,7 +192,8 @@ def backoff_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = max(1, math.ceil(n_bytes / BATCH_BYTES), min(wide, math.ceil(n_bytes / LEAST_BATCH_BYTES)))
     parts = max(wide, batches)
-    dealt = source.withColumn("batch", F.pmod(F.xxhash64("_id", "_t"), F.lit(batches)).cast("int"))
+    dealt = source.withColumn("batch", F.pmod(F.xxhash64("_id", "_t"), F.lit(batches)).cast("int")) \
+        .mapInArrow(_deal, "batch int, rows binary")
     blocks = dealt.groupBy("batch").applyInArrow(
         _request(parts), "part int, batch int, keys binary, counts binary")
     answers = cut_lineage(blocks.groupBy("part").applyInArrow(_count, "batch int, part int, totals binary"))
