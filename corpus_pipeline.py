@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sievekit.llm.language_id import UNKNOWN, predict, train
 from sievekit.llm.near_dedup import near_duplicates
 from sievekit.llm.packing import pack_documents, production_vocabulary
-from sievekit.llm.quality import accepted, quality_rules
+from sievekit.llm.quality import quality_rules
 from sievekit.llm.substring_dedup import substring_dedup
 from sievekit.session import cut_lineage, ensure_checkpoint_dir, ship_package
 from sievekit.sources.tables import table
@@ -41,7 +41,12 @@ def _ready(spark: SparkSession) -> None:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
-    return accepted(quality_rules(docs.select(*COLUMNS))).select(*COLUMNS)
+    # the verdict is by text, so rows that share a doc_id are told apart by a hash of theirs
+    marked = docs.select(*COLUMNS).withColumn("_text", F.xxhash64("text"))
+    good = cut_lineage(quality_rules(marked.select("doc_id", "text", "lang", "_text")).select("doc_id", "_text", "kept"))
+    good = good.filter("kept").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    return marked.join(good, same, "left_semi").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

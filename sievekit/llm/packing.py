@@ -34,7 +34,7 @@ from ..sources.tables import table
 from .blocks import WINDOW_BASE, find_words, span_hashes, text_slices
 from .native import hash_ranks
 from .registry import query
-from .word_bpe import CHUNK_BYTES, TABLE_WORDS, load_tokenizer
+from .word_bpe import CHUNK_BYTES, TABLE_WORDS, encode_words, load_tokenizer
 
 CAPACITY = 2048
 ROUNDS = 150
@@ -67,7 +67,7 @@ class UnitTable:
         new = [u for u in units if u not in self.slots]
         if new:
             base = len(self.slots)
-            got = [e.ids for e in self.tok.encode_batch([u.decode("utf-8") for u in new], add_special_tokens=False)]
+            got = encode_words(self.tok, new)
             for i, u in enumerate(new):
                 self.slots[u] = base + i
             ids = np.fromiter((i for x in got for i in x), dtype=np.uint32)

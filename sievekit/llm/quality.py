@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import table
 from .native import split_words, text_of
 from .registry import query
@@ -41,26 +42,32 @@ BINS = [*CLASSES, "space", "wide", "other"]
 
 
 def measure(docs: DataFrame, window: int = 5) -> DataFrame:
-    """Counts and histograms of every text, beside the input columns.
+    """Counts and histograms of every text, beside the input columns other than ``text``.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_hist
     and word_hist.  Everything stays inside one row: windows are hashed, and only where
     two are equal are (hash, position) pairs sorted to find the words they cover.
     """
     keep = [c for c in docs.columns if c not in
-            {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"}]
+            {"text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"}]
     d = docs.select(*keep, text_of().alias("_t"))
     d = d.select("*", split_words(F.col("_t")).alias("_w"),
                  F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
-                 F.filter(split_words(F.lower("_t"), r"[^\p{L}]+"), lambda x: x.isin(COMMON)).alias("_common"),
-                 F.size(split_words(F.lower("_t"), r"[^\p{L}]+")).alias("_letter_runs"),
+                 split_words(F.lower("_t"), r"[^\p{L}]+").alias("_runs"),
                  *[(F.char_length("_t") - F.char_length(F.regexp_replace("_t", rx, ""))).cast("long").alias(f"_c_{k}")
                    for k, rx in CLASSES.items()])
     d = d.select("*", F.size("_w").cast("long").alias("n_words"),
-                 F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"))
-    d = d.select("*", F.when(F.col("n_words") >= window, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("n_words"), F.lit(window)) - (window - 1)),
-        lambda i: F.xxhash64(F.slice("_w", i.cast("int"), window)))).otherwise(F.array().cast("array<bigint>")).alias("_h"))
+                 F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+                 F.filter("_runs", lambda x: x.isin(COMMON)).alias("_common"), F.size("_runs").alias("_letter_runs"))
+    # window hashes from word hashes, by doubling: pairs, fours, and the words left over
+    d = d.select("*", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h1"))
+    have = 1
+    while have < window:
+        add = have if 2 * have <= window else 1
+        tail = F.slice(f"_h{add}", have + 1, F.greatest(F.size(f"_h{add}") - have, F.lit(0)))
+        d = d.select("*", F.zip_with(f"_h{have}", tail, lambda a, b: F.xxhash64(a, b)).alias(f"_h{have + add}"))
+        have += add
+    d = d.select("*", F.slice(f"_h{window}", 1, F.greatest(F.col("n_words").cast("int") - (window - 1), F.lit(0))).alias("_h"))
     d = d.select("*", (F.size(F.array_distinct("_h")) < F.size("_h")).alias("_rep"))
     d = d.select("*", F.when(F.col("_rep"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
                  .alias("_s"))
@@ -133,21 +140,10 @@ def judge(measured: DataFrame, refs: list, max_char: float = MAX_CHAR_DISTANCE,
     return d.select("*", (~F.col("base_failed") & verdict).alias("kept")).drop("_pc", "_pw")
 
 
-def accepted(judged: DataFrame) -> DataFrame:
-    """The kept rows.
-
-    A filter on the verdict would be pushed through the projections below it, and its
-    expression copied at every level; a row number in the same projection stops that."""
-    return (judged.withColumn("_row", F.monotonically_increasing_id())
-            .filter("kept and _row >= 0").drop("_row"))
-
-
 def quality_rules(docs: DataFrame, lang: str = "lang") -> DataFrame:
-    """Build the references from all rows, and judge each.
-
-    The first pass computes histograms only; the second one measures and judges a row where it
-    stands, so nothing is shuffled but partial sums."""
-    measured = measure(docs)
+    """Measure every row once into a written table without texts, build the references from
+    all of them, and judge each."""
+    measured = cut_lineage(measure(docs))
     return judge(measured, references(measured, lang))
 
 

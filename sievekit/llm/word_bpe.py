@@ -32,8 +32,9 @@ from ..sources.tables import table
 from .blocks import Words, find_words, text_slices
 from .registry import query
 
-TABLE_WORDS = 1_000_000
-CHUNK_BYTES = 4 << 20
+TABLE_WORDS = 400_000
+CHUNK_BYTES = 2 << 20
+ENCODE_WORDS = 4096
 ADDED = ("n_tokens", "ids", "decoded")
 
 _tokenizers: dict[str, object] = {}
@@ -51,6 +52,15 @@ def load_tokenizer(path: str):
     return _tokenizers[path]
 
 
+def encode_words(tok, words: list[bytes]) -> list[list[int]]:
+    """Ids of each word; encodings, which are large, live for one block only."""
+    out = []
+    for a in range(0, len(words), ENCODE_WORDS):
+        block = [w.decode("utf-8") for w in words[a:a + ENCODE_WORDS]]
+        out += [e.ids for e in tok.encode_batch(block, add_special_tokens=False)]
+    return out
+
+
 def distinct(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(hashes, bytes, slot of every word) of the distinct words of a slice."""
     values, first, slot = np.unique(hashes, return_index=True, return_inverse=True)
@@ -74,9 +84,8 @@ class WordTable:
             self.slots, self.n, self.ids, self.decoded = {}, [], [], []
         new = [w for w in words if w not in self.slots]
         if new:
-            for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)):
+            for w, ids in zip(new, encode_words(self.tok, new)):
                 self.slots[w] = len(self.n)
-                ids = e.ids
                 self.n.append(len(ids))
                 self.ids.append(" ".join(map(str, ids)))
                 self.decoded.append(" ".join([self.pieces[i] for i in ids]))
