@@ -44,12 +44,13 @@ BINS = [*CLASSES, "space", "wide", "other"]
 def measure(docs: DataFrame, window: int = 5) -> DataFrame:
     """Counts and histograms of every text, beside the input columns other than ``text``.
 
-    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_hist
-    and word_hist.  Everything stays inside one row: windows are hashed, and only where
+    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the histograms char_hist
+    and word_hist, and their shares char_share and word_share.  Everything stays inside one row: windows are hashed, and only where
     two are equal are (hash, position) pairs sorted to find the words they cover.
     """
     keep = [c for c in docs.columns if c not in
-            {"text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist"}]
+            {"text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_hist", "word_hist",
+             "char_share", "word_share"}]
     d = docs.select(*keep, text_of().alias("_t"))
     d = d.select("*", split_words(F.col("_t")).alias("_w"),
                  F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
@@ -83,13 +84,14 @@ def measure(docs: DataFrame, window: int = 5) -> DataFrame:
     chars = [*[F.col(f"_c_{k}") for k in CLASSES], space, wide, F.greatest(
         F.lit(0), F.char_length("_t") - known - space - wide)]
     hits = [F.size("_common") - F.size(F.array_remove("_common", w)) for w in COMMON]
-    return d.select(
+    d = d.select(
         *keep, "n_words", "word_chars", F.col("_c_symbol").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_rep"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(*[c.cast("double") for c in chars]).alias("char_hist"),
         F.array(*[h.cast("double") for h in hits],
                 (F.col("_letter_runs") - F.size("_common")).cast("double")).alias("word_hist"))
+    return d.select("*", _shares(F.col("char_hist")).alias("char_share"), _shares(F.col("word_hist")).alias("word_share"))
 
 
 def _shares(hist: Column) -> Column:
@@ -103,7 +105,7 @@ def references(measured: DataFrame, lang: str = "lang") -> list[tuple[str, list[
     Sums of shares per bin, so every task sends one partial row per language."""
     nc, nw = len(BINS), len(COMMON) + 1
     shares = measured.filter(F.col(lang).isNotNull() & (F.col("n_words") > 0)).select(
-        F.col(lang).alias("_lang"), _shares(F.col("char_hist")).alias("c"), _shares(F.col("word_hist")).alias("w"))
+        F.col(lang).alias("_lang"), F.col("char_share").alias("c"), F.col("word_share").alias("w"))
     # fifteen places, so that the order of summing cannot show
     rows = shares.groupBy("_lang").agg(
         *[F.sum(F.col("c")[i].cast("decimal(28,15)")).alias(f"c{i}") for i in range(nc)],
@@ -127,17 +129,15 @@ def js_distance(p: Column, q: Column) -> Column:
 def judge(measured: DataFrame, refs: list, max_char: float = MAX_CHAR_DISTANCE,
           max_word: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """Add base_failed, char_distance, word_distance and kept."""
-    d = measured.select("*", _shares(F.col("char_hist")).alias("_pc"), _shares(F.col("word_hist")).alias("_pw"))
-
     def nearest(shares: str, which: int) -> Column:
         if not refs:
             return F.lit(0.0)
         far = [js_distance(F.col(shares), F.array(*[F.lit(x) for x in r[which]])) for r in refs]
         return F.least(*far) if len(far) > 1 else far[0]
-    d = d.select("*", nearest("_pc", 1).alias("char_distance"), nearest("_pw", 2).alias("word_distance"),
+    d = measured.select("*", nearest("char_share", 1).alias("char_distance"), nearest("word_share", 2).alias("word_distance"),
                  ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"))
     verdict = (F.col("n_words") < min_words) | ((F.col("char_distance") <= max_char) & (F.col("word_distance") <= max_word))
-    return d.select("*", (~F.col("base_failed") & verdict).alias("kept")).drop("_pc", "_pw")
+    return d.select("*", (~F.col("base_failed") & verdict).alias("kept"))
 
 
 def quality_rules(docs: DataFrame, lang: str = "lang") -> DataFrame:
