@@ -36,8 +36,8 @@ el del y los se las no por con una para es su al lo
 COMMON = sorted(set(COMMON_WORDS))
 
 # fixed values: character classes as regular expressions; the rest counts as lower-case letters
-CLASSES = {"symbol": r"[#*$%&|<>]+", "upper": "[A-Z]+", "digit": "[0-9]+",
-           "punct": r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]+"}
+CLASSES = {"symbol": r"[#*$%&|<>]", "upper": "[A-Z]", "digit": "[0-9]",
+           "punct": r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]"}
 BINS = [*CLASSES, "space", "wide", "other"]
 
 
@@ -55,19 +55,18 @@ def measure(docs: DataFrame, window: int = 5) -> DataFrame:
     d = d.select("*", split_words(F.col("_t")).alias("_w"),
                  F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
                  split_words(F.lower("_t"), r"[^\p{L}]+").alias("_runs"),
-                 *[(F.char_length("_t") - F.char_length(F.regexp_replace("_t", rx, ""))).cast("long").alias(f"_c_{k}")
+                 *[F.regexp_count("_t", F.lit(rx)).cast("long").alias(f"_c_{k}")
                    for k, rx in CLASSES.items()])
     d = d.select("*", F.size("_w").cast("long").alias("n_words"),
                  F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
                  F.filter("_runs", lambda x: x.isin(COMMON)).alias("_common"), F.size("_runs").alias("_letter_runs"))
-    # window hashes from word hashes, by doubling: pairs, fours, and the words left over
-    d = d.select("*", F.transform("_w", lambda x: F.xxhash64(x)).alias("_h1"))
-    have = 1
+    # window hashes by doubling: two overlapping stretches make the longer one
+    d, have = d.withColumn("_h1", F.col("_w")), 1
     while have < window:
-        add = have if 2 * have <= window else 1
-        tail = F.slice(f"_h{add}", have + 1, F.greatest(F.size(f"_h{add}") - have, F.lit(0)))
-        d = d.select("*", F.zip_with(f"_h{have}", tail, lambda a, b: F.xxhash64(a, b)).alias(f"_h{have + add}"))
-        have += add
+        grow = min(have, window - have)
+        tail = F.slice(f"_h{have}", grow + 1, F.greatest(F.size(f"_h{have}") - grow, F.lit(0)))
+        d = d.select("*", F.zip_with(f"_h{have}", tail, lambda a, b: F.xxhash64(a, b)).alias(f"_h{have + grow}"))
+        have += grow
     d = d.select("*", F.slice(f"_h{window}", 1, F.greatest(F.col("n_words").cast("int") - (window - 1), F.lit(0))).alias("_h"))
     d = d.select("*", (F.size(F.array_distinct("_h")) < F.size("_h")).alias("_rep"))
     d = d.select("*", F.when(F.col("_rep"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -106,10 +105,9 @@ def references(measured: DataFrame, lang: str = "lang") -> list[tuple[str, list[
     nc, nw = len(BINS), len(COMMON) + 1
     shares = measured.filter(F.col(lang).isNotNull() & (F.col("n_words") > 0)).select(
         F.col(lang).alias("_lang"), F.col("char_share").alias("c"), F.col("word_share").alias("w"))
-    # fifteen places, so that the order of summing cannot show
     rows = shares.groupBy("_lang").agg(
-        *[F.sum(F.col("c")[i].cast("decimal(28,15)")).alias(f"c{i}") for i in range(nc)],
-        *[F.sum(F.col("w")[i].cast("decimal(28,15)")).alias(f"w{i}") for i in range(nw)]).collect()
+        *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(nc)],
+        *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(nw)]).collect()
     out = []
     for r in rows:
         c, w = [float(r[f"c{i}"]) for i in range(nc)], [float(r[f"w{i}"]) for i in range(nw)]
