@@ -331,8 +331,8 @@ WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   '(R' || l_orderkey || '-' || l_linenumber || ' (:LEFT-PRIMARIES P' || l_partkey || ' S' || l_suppkey
   || ') (:RIGHT-PRIMARIES O' || l_orderkey || ') :DIRECTION :L2R)' AS layout FROM lineitem),
 c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  list_concat(string_split(regexp_extract(layout, '\(:LEFT-PRIMARIES ([^)]*)\)', 1), ' '),
-              string_split(regexp_extract(layout, '\(:RIGHT-PRIMARIES ([^)]*)\)', 1), ' ')) AS cs FROM q)
+  list_concat(regexp_extract_all(regexp_extract(layout, '\(:LEFT-PRIMARIES ([^)]*)\)', 1), '\S+'),
+              regexp_extract_all(regexp_extract(layout, '\(:RIGHT-PRIMARIES ([^)]*)\)', 1), '\S+')) AS cs FROM q)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, generate_subscripts(cs, 1) - 1 AS pos, unnest(cs) AS compound
 FROM c
 """)
@@ -344,8 +344,9 @@ def primaries_parse(spark, sf_dir):
     layout = F.concat(F.lit("(R"), s("l_orderkey"), F.lit("-"), s("l_linenumber"),
                       F.lit(" (:LEFT-PRIMARIES P"), s("l_partkey"), F.lit(" S"), s("l_suppkey"),
                       F.lit(") (:RIGHT-PRIMARIES O"), s("l_orderkey"), F.lit(") :DIRECTION :L2R)"))
-    left = F.split(F.regexp_extract(layout, r"\(:LEFT-PRIMARIES ([^)]*)\)", 1), " ")
-    right = F.split(F.regexp_extract(layout, r"\(:RIGHT-PRIMARIES ([^)]*)\)", 1), " ")
+    # a layout without a side has no compounds there
+    left = F.regexp_extract_all(F.regexp_extract(layout, r"\(:LEFT-PRIMARIES ([^)]*)\)", 1), F.lit(r"\S+"), 0)
+    right = F.regexp_extract_all(F.regexp_extract(layout, r"\(:RIGHT-PRIMARIES ([^)]*)\)", 1), F.lit(r"\S+"), 0)
     x = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(left, right).alias("cs"))
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     F.posexplode("cs").alias("pos", "compound")).withColumn("pos", F.col("pos").cast("long"))

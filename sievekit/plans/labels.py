@@ -7,9 +7,10 @@ the long table ``(o_orderkey, label)``; wide multi-hot only at the edge.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggs, clean, joins, ranking
+from ..operators import aggs, clean, joins
 from ..sources import table
 from .registry import query
 
@@ -145,8 +146,14 @@ FROM ol GROUP BY label
 def label_positives(spark, sf_dir):
     """Positives per label, ranked (label domain is the bounded vocabulary)."""
     ol = order_labels(spark, sf_dir)
-    t = clean.top_frequent(ol, "label", MAX_LABELS)
-    return t.select("label", F.col("n").alias("n_pos"), F.col("freq_rank").cast("long").alias("pos_rank"))
+    n = clean.value_counts(ol, "label")
+    # labels with a greater count come first: a running sum over the distinct counts only
+    before = (n.groupBy("n").agg(F.count(F.lit(1)).alias("same"))
+              .select(F.col("n").alias("m"), F.coalesce(F.sum("same").over(
+                  Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead")))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("label"))
+    return (n.withColumn("place", place).join(before, F.col("n") == F.col("m"))
+            .select("label", F.col("n").alias("n_pos"), (F.col("ahead") + F.col("place")).cast("long").alias("pos_rank")))
 
 
 @query("drop_frequent", oracle="""
@@ -299,12 +306,11 @@ FROM ol JOIN fr USING (label) GROUP BY o_orderkey
 def class_assign_frequent(spark, sf_dir):
     """The order's globally most frequent label; top-3 cut variant → 'Other'."""
     ol = order_labels(spark, sf_dir)
-    fr = clean.top_frequent(ol, "label", MAX_LABELS).select("label", F.col("freq_rank").alias("rk"))
-    j = ol.join(F.broadcast(fr), "label")                  # fr is limited to MAX_LABELS rows
+    top = clean.top_frequent(ol, "label", 3).select("label", F.col("freq_rank").alias("rk"))
+    j = ol.join(clean.value_counts(ol, "label"), "label").join(F.broadcast(top), "label", "left")   # three rows
     return j.groupBy("o_orderkey").agg(
-        F.min_by("label", "rk").alias("assigned"),
-        F.coalesce(F.min_by("label", F.when(F.col("rk") <= 3, F.col("rk"))), F.lit("Other"))
-        .alias("assigned_top3"))
+        F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("assigned"),
+        F.coalesce(F.min_by("label", "rk"), F.lit("Other")).alias("assigned_top3"))
 
 
 @query("class_assign_first", oracle=f"""
@@ -312,10 +318,7 @@ WITH {OL} SELECT o_orderkey, min(label) AS assigned FROM ol GROUP BY o_orderkey
 """)
 def class_assign_first(spark, sf_dir):
     """First positive in label order."""
-    ol = order_labels(spark, sf_dir)
-    d = clean.label_index(ol)
-    return ranking.assign_by_rank(ol.join(joins.bounded_broadcast(d, MAX_LABELS), "label"),
-                                  "o_orderkey", "label", "label_idx")
+    return order_labels(spark, sf_dir).groupBy("o_orderkey").agg(F.min("label").alias("assigned"))
 
 
 @query("class_assign_second", oracle=f"""
@@ -328,9 +331,9 @@ WHERE rn = least(2, n)
 def class_assign_second(spark, sf_dir):
     """Second positive when several, else the only one."""
     ol = order_labels(spark, sf_dir)
-    d = clean.label_index(ol)
-    return ranking.assign_second(ol.join(joins.bounded_broadcast(d, MAX_LABELS), "label"),
-                                 "o_orderkey", "label", "label_idx")
+    names = F.sort_array(F.collect_set("label"))           # one order's labels
+    return (ol.groupBy("o_orderkey").agg(names.alias("names"))
+            .select("o_orderkey", F.element_at("names", F.least(F.size("names"), F.lit(2))).alias("assigned")))
 
 
 @query("dataset_shape", oracle=f"""

@@ -69,11 +69,11 @@ def write_ragged(df: DataFrame, group: str, list_col: str, path: str, prefix: st
 def append_new_reps(spark: SparkSession, df: DataFrame, path: str, key: str = "rep") -> DataFrame:
     """Append result rows partitioned by ``key``, resuming a previous run:
     keys already present in the table are skipped (left anti on the keys)."""
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-        new = df.join(done, key, "left_anti")
-    except Exception:  # noqa: BLE001 — no table yet
-        new = df
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = df
+    # only a missing folder means that there is no table yet; any other error is raised
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        new = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
     new.write.mode("append").partitionBy(key).parquet(path)
     return spark.read.parquet(path)
 
@@ -131,4 +131,4 @@ def ortholog_ids(section: Column) -> Column:
 
 def html_list_items(html: Column) -> Column:
     """Raw ``<li>`` item contents of a page, in document order."""
-    return F.regexp_extract_all(html, F.lit(r"<li>(.*?)</li>"), 1)
+    return F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1)
