@@ -56,7 +56,7 @@ def mask_tokens(encoded: DataFrame, keys: list[str], seed: int = 42, threshold_h
 
     def is_masked(t: Column, i: Column) -> Column:
         h = F.substring(F.md5(F.concat(key_str, F.lit("|"), i.cast("string"))), 1, len(threshold_hex))
-        maskable = (t >= F.lit(len(SPECIALS))) | (t == F.lit(UNK))      # not [PAD]/[CLS]/[SEP]/[MASK]
+        maskable = t >= F.lit(len(SPECIALS))      # special ids, [UNK] among them, are never masked
         return maskable & (h < F.lit(threshold_hex))
 
     ids = F.col("input_ids")

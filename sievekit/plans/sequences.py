@@ -1,7 +1,7 @@
 """Token sequences over ``conversations`` and the embedding cache.
 
 Words = lower-case letter runs (same splitter as every other word feature).
-Vocabulary: 5 specials, then words seen at least twice, sorted.
+Vocabulary: 5 specials, then all words, sorted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .registry import query
 TOK = r"""t AS (SELECT conv_id, turn, role,
               list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '') AS w
        FROM conversations)"""
-VOCAB = """f AS (SELECT token, count(*) AS c FROM (SELECT unnest(w) AS token FROM t) GROUP BY 1 HAVING count(*) >= 2),
+VOCAB = """f AS (SELECT token, count(*) AS c FROM (SELECT unnest(w) AS token FROM t) GROUP BY 1),
 v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) + 4 AS INTEGER) AS token_id FROM f
       UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3), ('[MASK]', 4)) s(token, token_id))"""
 ENC = """x AS (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM t),
@@ -31,7 +31,7 @@ pad AS (SELECT conv_id, turn, len(e) AS n_tokens,
                list_concat(list_transform(range(len(e)), lambda x: 1), list_transform(range(32 - len(e)), lambda x: 0)) AS am
         FROM enc)"""
 MSK = """m AS (SELECT conv_id, turn, ids,
-             list_transform(ids, lambda x, i: (x >= 5 OR x = 1) AND
+             list_transform(ids, lambda x, i: x >= 5 AND
                substr(md5('42|' || conv_id || '|' || turn || '|' || (i - 1)), 1, 4) < '2666') AS mk FROM pad),
 ml AS (SELECT conv_id, turn, list_transform(ids, lambda x, i: CASE WHEN mk[i] THEN 4 ELSE x END) AS masked,
               list_transform(ids, lambda x, i: CASE WHEN mk[i] THEN x ELSE -100 END) AS labels FROM m)"""
@@ -46,7 +46,7 @@ def tokenised(spark, sf_dir):
 
 def encoded(spark, sf_dir):
     t = tokenised(spark, sf_dir)
-    vocab = Q.vocabulary(t, "w", min_freq=2)
+    vocab = Q.vocabulary(t, "w", min_freq=1)
     return Q.encode(t, ["conv_id", "turn"], "w", vocab, MAX_LEN)
 
 
@@ -62,7 +62,7 @@ def tokens_vocab(spark, sf_dir):
     """X5 + X6 + A24: vocabulary file (specials first) and the longest sequence."""
     t = tokenised(spark, sf_dir)
     mx = t.agg(F.max(F.size("w")).cast("long")).scalar()
-    return Q.vocabulary(t, "w", min_freq=2).select("token", "token_id", mx.alias("max_len"))
+    return Q.vocabulary(t, "w", min_freq=1).select("token", "token_id", mx.alias("max_len"))
 
 
 @query("encode_tokens", oracle=f"""
