@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clean, joins, metrics, splits
+from ..session import cut_lineage
 from ..sources import table
 from .labels import OL, order_labels
 from .registry import query
@@ -56,24 +57,28 @@ def stratified_kfold(spark, sf_dir):
 
 @query("train_val_cut", oracle=f"""
 WITH {OL}, {STRATA}, {KFOLD},
-tr AS (SELECT * FROM f WHERE fold <> rep),
-c AS (SELECT rep, o_orderkey,
-        row_number() OVER (PARTITION BY rep, stratum
-          ORDER BY md5('v' || CAST(rep AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR))) AS p,
-        count(*) OVER (PARTITION BY rep, stratum) AS m FROM tr)
-SELECT rep, o_orderkey, CASE WHEN p <= ceil(m * 0.8) THEN 'train' ELSE 'val' END AS role, true AS fit FROM c
+part AS (SELECT rep, test_fold, o_orderkey, stratum, fold FROM f, range(5) t(test_fold)),
+c AS (SELECT rep, test_fold, o_orderkey,
+        row_number() OVER (PARTITION BY rep, test_fold, stratum ORDER BY md5('v' || CAST(rep AS VARCHAR) || '-'
+          || CAST(test_fold AS VARCHAR) || '|' || CAST(o_orderkey AS VARCHAR))) AS p,
+        count(*) OVER (PARTITION BY rep, test_fold, stratum) AS m FROM part WHERE fold <> test_fold)
+SELECT rep, test_fold, o_orderkey, CASE WHEN p <= ceil(m * 0.8) THEN 'train' ELSE 'val' END AS role, true AS fit FROM c
 UNION ALL
-SELECT rep, o_orderkey, 'test' AS role, false AS fit FROM f WHERE fold = rep
+SELECT rep, test_fold, o_orderkey, 'test' AS role, false AS fit FROM part WHERE fold = test_fold
 """)
 def train_val_cut(spark, sf_dir):
-    """T7 + O5: rep r tests on fold r; its training part is cut 80/20 into
-    train/val with the same stratification and its own seed; ``fit`` marks
-    train ∪ val (the final-fit set) without copying rows."""
-    f = kfold_table(spark, sf_dir)
-    test = f.filter(F.col("fold") == F.col("rep")).select("rep", "o_orderkey", F.lit("test").alias("role"))
-    tr = splits.position_cut(f.filter(F.col("fold") != F.col("rep")), ["rep", "stratum"], "o_orderkey",
-                             F.concat(F.lit("v"), F.col("rep").cast("string")), 0.8, "train", "val")
-    out = tr.select("rep", "o_orderkey", "role").unionByName(test)
+    """T7 + T11 + O5: in every repetition each fold is the test part once; the other folds are
+    cut 80/20 into train/val with the same stratification and a seed per (rep, fold); ``fit``
+    marks train ∪ val (the final-fit set) without copying rows."""
+    f = cut_lineage(kfold_table(spark, sf_dir))
+    part = f.withColumn("test_fold", F.explode(F.sequence(F.lit(0).cast(f.schema["fold"].dataType),
+                                                          F.lit(4).cast(f.schema["fold"].dataType))))
+    keys = ["rep", "test_fold", "o_orderkey"]
+    test = part.filter(F.col("fold") == F.col("test_fold")).select(*keys, F.lit("test").alias("role"))
+    tr = splits.position_cut(part.filter(F.col("fold") != F.col("test_fold")), ["rep", "test_fold", "stratum"],
+                             "o_orderkey", F.concat(F.lit("v"), F.col("rep").cast("string"), F.lit("-"),
+                                                    F.col("test_fold").cast("string")), 0.8, "train", "val")
+    out = tr.select(*keys, "role").unionByName(test)
     return out.withColumn("fit", F.col("role").isin("train", "val"))
 
 
