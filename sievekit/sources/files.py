@@ -9,7 +9,7 @@ part number of the file instead of an assumed global file order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window, Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,17 +42,33 @@ def snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _file_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with writer task, file number and row index, row counts per file)."""
+    name = F.col("_metadata.file_name")
+    rows = df.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("__part"),
+                     F.regexp_extract(name, r"-c(\d+)", 1).cast("long").alias("__file"),
+                     F.col("_metadata.row_index").alias("__row"))
+    return rows, rows.groupBy("__part", "__file").agg(F.count(F.lit(1)).alias("__n"))
+
+
 def with_input_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """Exact input position of each row of a parquet read: (part number of the
-    file, row index inside the file).  Two snapshots written from the same
-    partitioning align row by row on this ordinal."""
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
-    return df.select("*", F.struct(part.alias("part"), F.col("_metadata.row_index").alias("row")).alias(name))
+    """Exact input position of each row of a parquet read: (writer task, row over all files
+    that the task rolled).  Two snapshots written from the same partitioning align row by row
+    on this ordinal, also when their files were rolled at different places."""
+    rows, sizes = _file_rows(df)
+    before = Window.partitionBy("__part").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", "__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return (rows.join(starts, ["__part", "__file"])
+            .select(*df.columns, F.struct(F.col("__part").alias("part"),
+                                          (F.col("__start") + F.col("__row")).alias("row")).alias(name)))
 
 
 def zip_by_position(ids: DataFrame, matrix: DataFrame) -> DataFrame:
     """Join an id list to a numeric matrix by input position (equi join on
-    the ordinal — never an assumed global order)."""
+    the ordinal — never an assumed global order); raises when a row has no partner."""
+    totals = [_file_rows(df)[1].groupBy("__part").agg(F.sum("__n").alias(n)) for df, n in ((ids, "a"), (matrix, "b"))]
+    if totals[0].join(totals[1], "__part", "full").filter(~F.col("a").eqNullSafe(F.col("b"))).limit(1).count():
+        raise ValueError("the two inputs do not hold the same number of rows per part")
     return with_input_ordinal(ids).join(with_input_ordinal(matrix), "ordinal").drop("ordinal")
 
 
@@ -78,12 +94,15 @@ def append_new_reps(spark: SparkSession, df: DataFrame, path: str, key: str = "r
     return spark.read.parquet(path)
 
 
-def read_records(spark: SparkSession, path: str, terminator: str = "//\n") -> DataFrame:
+def read_records(spark: SparkSession, path: str, terminator: str = "\n//\n",
+                 encoding: str = "ISO-8859-1") -> DataFrame:
     """S3: attribute-value records (``KEY - value`` lines, ``#`` comments,
     records ended by ``//``) → one row per record with a map key → value list.
 
-    Lines split on the FIRST ``' - '``; blank and comment lines are skipped."""
-    raw = spark.read.option("lineSep", terminator).text(path)
+    Lines split on the FIRST ``' - '``; blank and comment lines are skipped.  Only a line
+    that is ``//`` alone ends a record, and the bytes are decoded by ``encoding``."""
+    raw = spark.read.option("lineSep", terminator).text(path) \
+        .select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
     lines = raw.select(F.filter(F.split("value", "\n"),
                                 lambda l: (F.trim(l) != "") & ~l.startswith("#") & (F.instr(l, " - ") > 0))
                        .alias("lines"))
