@@ -106,21 +106,18 @@ def nearest_neighbours(vecs: DataFrame, id_col: str, vec_col: str, tile: int = T
     return best.select(F.col("i").alias(id_col), (-F.col("b.r")).alias("nn_id"), F.col("b.s").alias("sim"))
 
 
-SUM_SCHEMA = T.StructType([T.StructField("i", T.LongType()), T.StructField("s", T.DoubleType())])
-
-
-def similarity_row_sums(vecs: DataFrame, id_col: str, vec_col: str, tile: int = TILE) -> DataFrame:
-    """W6 helper: Σ_j≠i cos(i, j) per vector (partial sums per tile, then a sum)."""
-
-    def kernel(pdf):
-        same, a, b, ia, ib, s, valid = _cos_tile(pdf)
-        s = np.where(valid, s, 0.0)
-        parts = [pd.DataFrame({"i": ia, "s": np.nansum(s, axis=1)})]
-        parts.append(pd.DataFrame({"i": ib, "s": np.nansum(s, axis=0)}))
-        return pd.concat(parts)
-
-    t = _tiles(vecs, id_col, vec_col, tile).groupBy("b1", "b2").applyInPandas(kernel, SUM_SCHEMA)
-    return t.groupBy("i").agg(F.sum("s").alias("row_sum")).withColumnRenamed("i", id_col)
+def similarity_row_sums(vecs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """W6 helper: Σ_j≠i cos(i, j) per vector in O(n): the dot product of the unit vector with the
+    sum of all unit vectors, less its own.  A zero vector has no cosine: its sum is NULL."""
+    x = F.col(vec_col).cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
+    unit = (vecs.select(F.col(id_col).alias("__id"), x.alias("__x"), norm.alias("__n"))
+                .select("__id", F.when(F.col("__n") > 0, F.transform("__x", lambda v: v / F.col("__n"))).alias("__u")))
+    total = (unit.select(F.posexplode("__u").alias("__k", "__v")).groupBy("__k").agg(F.sum("__v").alias("__s"))
+                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__s"))),     # one entry per dimension
+                                  lambda r: r["__s"]).alias("__t")))
+    dot = F.aggregate(F.zip_with("__u", "__t", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return unit.withColumn("__t", total.scalar()).select(F.col("__id").alias(id_col), (dot - 1).alias("row_sum"))
 
 
 EDGE_SCHEMA = T.StructType([T.StructField("c", T.LongType()), T.StructField("w", T.DoubleType()),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import anti_join
+from .ranking import global_position
 
 
 def normalise_columns(df: DataFrame) -> DataFrame:
@@ -82,9 +83,9 @@ def fold_label(long: DataFrame, label: str, source: str, target: str, keys: list
 
 
 def label_index(long: DataFrame, label: str = "label", name: str = "label_idx") -> DataFrame:
-    """Sorted distinct labels → dense 0-based index (small dictionary)."""
-    d = long.select(label).distinct()
-    return d.withColumn(name, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    """Sorted distinct labels → dense 0-based index."""
+    return (global_position(long.select(label).distinct(), [label], "__pos")
+            .select(label, (F.col("__pos") - 1).cast("int").alias(name)))
 
 
 def code_to_name(df: DataFrame, code: str, dim: DataFrame, dim_code: str, dim_name: str,

@@ -1,25 +1,17 @@
 """Join operators (J1–J14) and set operations.
 
-Broadcasts are never unconditional: either the table has a proven small
-bound (``bounded_broadcast`` counts at most ``max_rows + 1`` rows first), or
-we leave the choice to AQE, which converts a sort-merge join to a broadcast
-join only after measuring the shuffled side at runtime.
+No join here forces a broadcast: AQE turns a sort-merge join into a broadcast
+join only after it has measured the bytes of the shuffled side.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """O1: union by name."""
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -52,11 +44,6 @@ def semi_join(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other.select(*keys).distinct(), keys, "left_semi")
 
 
-def lookup(df: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
-    """J6 (optional, inner) / J7 (mandatory, left + raise) dictionary lookups."""
-    return df.join(dim, on, how)
-
-
 def mandatory_lookup(df: DataFrame, dim: DataFrame, on: str, value: str) -> DataFrame:
     """Left join; a missing key raises at execution time instead of yielding NULL."""
     j = df.join(dim, on, "left")
@@ -94,12 +81,3 @@ def explode_cross(df: DataFrame, left: str, right: str, out_left: str = "src",
     """Every left member × every right member of the same row (one reaction)."""
     return (df.withColumn(out_left, F.explode(F.col(left)))
               .withColumn(out_right, F.explode(F.col(right))))
-
-
-def intersect_values(a: DataFrame, b: DataFrame) -> DataFrame:
-    """O2: distinct intersection."""
-    return a.intersect(b)
-
-
-def null_safe_eq(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

@@ -3,8 +3,8 @@
 Skew rule: a key or stratum may hold a third of all rows, so nothing here
 uses a plain ``Window.partitionBy(key)`` over unbounded groups.  Keep-first
 is an aggregate (``min_by``) with map-side partial aggregation; positions
-inside a group are computed by ``group_position`` which splits every group
-into ordered sub-buckets first.
+inside a group are computed by ``ordered_position``, which splits every group
+over range partitions first.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _cols(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
@@ -32,46 +34,37 @@ def first_per_key(df: DataFrame, keys, order) -> DataFrame:
               .select(*keys, "__first.*"))
 
 
-def group_position(df: DataFrame, group, order_hex: str, prefix_len: int = 2,
-                   name: str = "pos") -> DataFrame:
-    """1-based position of each row inside its group, ordered by a hex string.
+def ordered_position(df: DataFrame, group, order: list, name: str = "pos") -> DataFrame:
+    """1-based position of each row inside ``group`` by the column tuple ``order``.
 
-    Scales to hot groups: rows are first bucketed by the leading ``prefix_len``
-    hex characters of the order key (monotone with the order), bucket sizes are
-    counted with a partial aggregate, offsets come from a window over the small
-    (group, bucket) count table, and the final ``row_number`` runs per
-    (group, bucket) — so no single task ever sorts a whole hot group.
-    Callers pass a unique order key (md5 of seed‖id).
-    """
-    group = _cols(group)
-    b = F.substring(F.col(order_hex), 1, prefix_len)
-    x = df.withColumn("__b", b)
-    counts = x.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    rn = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(order_hex))
-    return (x.join(offs, [*group, "__b"], "inner")
-             .withColumn(name, (F.col("__off") + rn).cast("long"))
-             .drop("__b", "__off"))
-
-
-def ordered_position(df: DataFrame, group, order: list, bucket, name: str = "pos") -> DataFrame:
-    """1-based position inside ``group`` by the column tuple ``order``.
-
-    ``bucket`` must be an expression that is non-decreasing in ``order``
-    (e.g. the leading order column).  As in ``group_position``, the window
-    that assigns positions runs per (group, bucket) and the bucket offsets
-    come from the small per-bucket count table.
+    The rows are range-partitioned on (group, order) and written once, so their
+    number of ranges grows with the data and a group holding a third of all rows
+    spans many of them.  Rows per (group, range) are counted, offsets come from a
+    window over that small count table, and ``row_number`` runs per (group,
+    range).  ``order`` should be unique inside a group.
     """
-    group = _cols(group)
-    x = df.withColumn("__b", bucket if isinstance(bucket, Column) else F.col(bucket))
-    counts = x.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    group, order = _cols(group), _cols(order)
+    ranges = cut_lineage(df.repartitionByRange(*group, *order).withColumn("__b", F.spark_partition_id()))
+    counts = ranges.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__b").alias("__c"),
+                         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    same = F.col("__b") == F.col("__c")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
     rn = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(*order))
-    return (x.join(offs, [*group, "__b"], "inner")
-             .withColumn(name, (F.col("__off") + rn).cast("long"))
-             .drop("__b", "__off"))
+    return (ranges.join(offs, same).withColumn(name, (F.col("__off") + rn).cast("long"))
+                  .select(*df.columns, name))
+
+
+def group_position(df: DataFrame, group, order_hex: str, name: str = "pos") -> DataFrame:
+    """``ordered_position`` by one unique order key (md5 of seed‖id)."""
+    return ordered_position(df, group, [order_hex], name)
+
+
+def global_position(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """1-based position among all rows, without a one-task window."""
+    return ordered_position(df.withColumn("__all", F.lit(0)), "__all", order, name).drop("__all")
 
 
 def offset_pairs(chains: DataFrame, group: str, pos: str, node: str, max_k: int,
@@ -113,10 +106,3 @@ def assign_second(long_labels: DataFrame, id_col: str, label: str, rank: str) ->
             .agg(F.min(F.struct(F.col(rank).alias("r"), F.col(label).alias("l"))).alias("__m2")))
     return (firsts.join(rest, id_col, "left")
             .select(id_col, F.coalesce(F.col("__m2.l"), F.col("__m1.l")).alias("assigned")))
-
-
-def best_match(pairs: DataFrame, left: str, right: str, sim: str) -> DataFrame:
-    """Per left row, the right partner with the highest similarity (ties → smallest id)."""
-    return (pairs.groupBy(left)
-                 .agg(F.max(F.struct(F.col(sim).alias("s"), (-F.col(right)).alias("r"))).alias("__b"))
-                 .select(left, (-F.col("__b.r")).alias(right), F.col("__b.s").alias(sim)))

@@ -1,7 +1,7 @@
 """Token sequences: vocabulary, encoding, masking.
 
 Everything is a DataFrame job: the vocabulary is a distributed distinct with
-bucketed positions, encoding explodes tokens with their position, joins the
+positions over range partitions, encoding explodes tokens with their position, joins the
 vocabulary (AQE picks broadcast when it is small) and regroups per record —
 each record only ever regroups its own tokens.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ordered_position
+from .ranking import global_position
 
 # Special tokens and their ids (vocabulary file order).
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
@@ -23,8 +23,7 @@ def vocabulary(tokens: DataFrame, tok_col: str, min_freq: int = 1) -> DataFrame:
     ``min_freq`` occurrences in sorted order (ids from 5)."""
     t = (tokens.select(F.explode(tok_col).alias("token")).groupBy("token")
                .agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= min_freq))
-    t = t.withColumn("__g", F.lit(0))
-    pos = ordered_position(t, "__g", ["token"], F.substring("token", 1, 2))
+    pos = global_position(t, ["token"])
     words = pos.select("token", (F.col("pos") + len(SPECIALS) - 1).cast("int").alias("token_id"))
     spark = tokens.sparkSession
     specials = spark.createDataFrame([(s, i) for i, s in enumerate(SPECIALS)], "token string, token_id int")

@@ -2,8 +2,8 @@
 
 Every random choice is an ordering by ``md5(seed || '|' || id)``: identical in
 Spark and in SQL engines, reproducible, and independent of partitioning.
-Positions inside a stratum come from ``ranking.group_position`` (bucketed by
-hash prefix), so a stratum holding a third of all rows is still sorted by many
+Positions inside a stratum come from ``ranking.group_position`` (over range
+partitions), so a stratum holding a third of all rows is still sorted by many
 tasks.  No split is materialised per (rep, fold): one long table
 ``(rep, id, fold)`` carries everything and roles are predicates on it.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import group_position
+from .ranking import global_position, group_position
 
 
 def seeded_hash(seed, id_col: str) -> Column:
@@ -27,24 +27,16 @@ def sample_fixed(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFram
 
 
 def shuffle_positions(df: DataFrame, id_col: str, seed: int, name: str = "pos") -> DataFrame:
-    """A full seeded permutation as a 1-based position column.
-
-    Global version of ``group_position`` (one constant group, 4-hex-digit
-    buckets = 65,536 sub-ranges) instead of an unpartitioned window.
-    """
-    x = df.withColumn("__h", seeded_hash(seed, id_col)).withColumn("__g", F.lit(0))
-    return group_position(x, "__g", "__h", prefix_len=4, name=name).drop("__g", "__h")
+    """A full seeded permutation as a 1-based position column."""
+    return global_position(df.withColumn("__h", seeded_hash(seed, id_col)), ["__h"], name).drop("__h")
 
 
 def rarest_label(long: DataFrame, id_col: str, label: str) -> DataFrame:
     """T6 stratum: the row's positive label with the fewest positives overall
-    (ties by label name).  The rarity rank is computed on the per-label
-    aggregate (bounded by the label vocabulary)."""
+    (ties by label name): the smallest (positives, label) pair, with no rank over labels."""
     cnt = long.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    rar = cnt.withColumn("__r", F.row_number().over(Window.orderBy("__n", label))).drop("__n")
-    from .joins import bounded_broadcast
-    return (long.join(bounded_broadcast(rar, 100_000), label)
-                .groupBy(id_col).agg(F.min_by(F.col(label), F.col("__r")).alias("stratum")))
+    return (long.join(cnt, label).groupBy(id_col)
+                .agg(F.min(F.struct(F.col("__n"), F.col(label).alias("__l")))["__l"].alias("stratum")))
 
 
 def stratified_folds(strata: DataFrame, id_col: str, k: int = 5, reps: int = 5) -> DataFrame:
@@ -88,7 +80,7 @@ def group_split(sizes: DataFrame, group: str, frac_train: float = 0.8, frac_val:
     w = Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1)
     per_size = per_size.withColumn("__off", F.coalesce(F.sum(F.col(n) * F.col("__g")).over(w), F.lit(0)))
     total = sizes.agg(F.sum(n)).scalar()
-    p = group_position(s, n, "__h", prefix_len=4, name="__pos").join(per_size.select(n, "__off"), n)
+    p = group_position(s, n, "__h", name="__pos").join(per_size.select(n, "__off"), n)
     cum = F.col("__off") + F.col("__pos") * F.col(n)
     # exact integer comparison in percent: cum/total <= frac
     t_pct, v_pct = int(round(frac_train * 100)), int(round((frac_train + frac_val) * 100))

@@ -37,12 +37,12 @@ cl(root, node, depth) AS (
 
 
 def line_chain(spark, sf_dir):
-    """(l_orderkey, pos, l_linenumber, l_partkey, p_type): positions by the
-    bucketed ``ordered_position`` (bucket = line number) — no whole-order window."""
+    """(l_orderkey, pos, l_linenumber, l_partkey, p_type): positions by
+    ``ordered_position`` — no whole-order window; the chains are written once."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER)
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     x = li.join(pa, li.l_partkey == pa.p_partkey).drop("p_partkey")
-    return ranking.ordered_position(x, "l_orderkey", LINE_ORDER, "l_linenumber")
+    return ranking.ordered_position(x, "l_orderkey", LINE_ORDER)
 
 
 def type_edges(spark, sf_dir):

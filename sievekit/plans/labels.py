@@ -18,8 +18,6 @@ from .registry import query
 OL = """ol AS (SELECT DISTINCT l.l_orderkey AS o_orderkey, p.p_type AS label
         FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
-MAX_LABELS = 100_000   # a wide multi-hot beyond this is not a sensible output
-
 
 def line_parts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -34,11 +32,9 @@ def order_labels(spark, sf_dir):
 
 
 def label_names(dictionary) -> list[str]:
-    """Collect the (bounded) sorted label dictionary: pivot columns are metadata."""
-    rows = dictionary.orderBy("label_idx").limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError("label vocabulary too large for a wide multi-hot table")
-    return [r["label"] for r in rows]
+    """Names for the columns of a wide table.  They are its schema, which the driver holds in any
+    case; the long table stays the form for any number of labels."""
+    return [r["label"] for r in dictionary.orderBy("label_idx").collect()]
 
 
 @query("label_lists", oracle="""
@@ -100,21 +96,20 @@ FROM ol
 def label_array_unnest(spark, sf_dir):
     """0/1 label arrays + name dictionary → one long row per positive.
 
-    The array form is built from the long table with a bounded ``collect_set``
-    of label indices (domain = label vocabulary), then ``posexplode`` and a
-    broadcast join to the (bounded, counted) dictionary restore names.
+    One order's label indices become its array, ``posexplode`` gives the
+    positives back and a join to the dictionary restores the names.
     """
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
-    n_labels = len(label_names(d))                          # raises above MAX_LABELS: d is bounded
-    arr = (ol.join(F.broadcast(d), "label")
+    n_labels = d.count()
+    arr = (ol.join(d, "label")
              .groupBy("o_orderkey").agg(F.collect_set("label_idx").alias("idx"))
              .select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)),
                                                lambda i: F.array_contains("idx", i).cast("int"))
                      .alias("y")))
     long = (arr.select("o_orderkey", F.posexplode("y").alias("label_idx", "v"))
                .filter(F.col("v") == 1).drop("v"))
-    return long.join(F.broadcast(d), "label_idx").select("o_orderkey", "label_idx", "label")
+    return long.join(d, "label_idx").select("o_orderkey", "label_idx", "label")
 
 
 @query("label_fold_or", oracle=f"""

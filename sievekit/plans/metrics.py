@@ -133,19 +133,19 @@ UNION ALL SELECT rep, -1 AS fold, round(avg(macro_f1), 6) AS macro_f1 FROM m GRO
 def fold_summary(spark, sf_dir):
     """Macro F1 on each (rep, fold) test part, plus the mean over folds
     (fold = -1).  One confusion aggregate keyed by (rep, fold, label)."""
-    f = kfold_table(spark, sf_dir).select("rep", "fold", "o_orderkey")
+    from ..session import cut_lineage
+    f = cut_lineage(kfold_table(spark, sf_dir).select("rep", "fold", "o_orderkey"))
     t = order_labels(spark, sf_dir).join(f, "o_orderkey")
     p = predicted_labels(spark, sf_dir).join(f, "o_orderkey")
     conf = metrics.confusion(t, p, ["o_orderkey", "rep", "fold"]).filter(F.col("support") > 0)
-    per = metrics.averaged(metrics.with_scores(conf), ["rep", "fold"], "macro", metrics=("f1",))
-    per = per.withColumnRenamed("macro_f1", "macro_f1")
+    per = cut_lineage(metrics.averaged(metrics.with_scores(conf), ["rep", "fold"], "macro", metrics=("f1",)))
     mean = per.groupBy("rep").agg(F.lit(-1).cast("long").alias("fold"), F.avg("macro_f1").alias("macro_f1"))
     # Results land in a table partitioned by rep; a rerun resumes and
     # skips the reps already written (the second call appends nothing)
     from ..session import scratch_path
     from ..sources.files import append_new_reps
     path = scratch_path(spark, "fold-summary")
-    res = per.unionByName(mean)
+    res = cut_lineage(per.unionByName(mean))
     append_new_reps(spark, res, path, "rep")
     out = append_new_reps(spark, res, path, "rep")
     return out.select(F.col("rep").cast("long").alias("rep"), F.col("fold").cast("long").alias("fold"), "macro_f1")

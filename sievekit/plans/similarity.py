@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -66,20 +68,18 @@ FROM p WHERE i = (SELECT i FROM st)
 """)
 def similarity_chain(spark, sf_dir):
     """Start at the vector with the lowest similarity row sum; order every
-    other vector by similarity to it (ties → id).  Row sums are tile partial
-    sums; the chain position uses the bucketed positional rank."""
-    from ..operators.ranking import ordered_position
+    other vector by similarity to it (ties → id).  Row sums come from the sum
+    vector; positions are taken over range partitions."""
+    from ..operators.ranking import global_position
     emb = embeddings(spark, sf_dir)
     rs = allpairs.similarity_row_sums(emb, "vec_id", "embedding")
-    start = rs.orderBy("row_sum", "vec_id").limit(1).select("vec_id")
+    start = rs.orderBy(F.asc_nulls_last("row_sum"), "vec_id").limit(1).select("vec_id")
     # the start vector is one row: bring it to the driver as a literal array
     row = emb.join(start, "vec_id", "left_semi").first()
     start_vec = F.array(*[F.lit(float(x)) for x in row["embedding"]])
     c = (emb.filter(F.col("vec_id") != row["vec_id"])
             .select("vec_id", S.cosine("embedding", start_vec).alias("sim")).filter(F.col("sim").isNotNull()))
-    c = c.withColumn("__g", F.lit(0))
-    pos = ordered_position(c, "__g", [F.desc("sim"), F.asc("vec_id")], F.floor(-F.col("sim") * 4096))
-    return pos.select("pos", "vec_id", "sim")
+    return global_position(c, [F.desc("sim"), F.asc("vec_id")]).select("pos", "vec_id", "sim")
 
 
 @query("mst_distance")
@@ -272,63 +272,114 @@ GROUP BY grid.separation, grid.measure, k, gx, n, h
 """)
 def similarity_density(spark, sf_dir):
     """200-point Gaussian KDE per (separation, measure), Scott bandwidth,
-    grid [min − 3h, max + 3h].  Values are first reduced to distinct
-    (value, count) per group, each distinct value contributes to the 200 grid
-    points through a per-row ``sequence`` (no join with the grid), and the
-    contributions are summed with a partial aggregate."""
+    grid [min − 3h, max + 3h].  One Arrow pass adds every value's kernel to a
+    vector of 200 per group, so a task hands on 200 sums per group and no row is
+    multiplied; the groups' grids (one row per group) travel with the kernel."""
     lg = long_measures(spark, sf_dir).filter(F.col("x").isNotNull())
     grp = ["separation", "measure"]
     st = lg.groupBy(*grp).agg(F.count(F.lit(1)).alias("n"),
                               (F.stddev_samp("x") * F.pow(F.count(F.lit(1)), -0.2)).alias("h"),
                               F.min("x").alias("lo"), F.max("x").alias("hi"))
-    vc = lg.groupBy(*grp, "x").agg(F.count(F.lit(1)).alias("c"))
+    st = st.withColumns({"lo": F.col("lo") - 3 * F.col("h"), "hi": F.col("hi") + 3 * F.col("h")})
+    grids = {(r.separation, r.measure): (r.lo, r.hi, r.h) for r in st.collect()}      # 6 separations x 3 measures
+
+    def kernel(batches):
+        sums = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(grp):
+                lo, hi, h = grids[key]
+                if not h:                          # a constant group or a single value has no bandwidth
+                    continue
+                gx = lo + np.arange(GRID) * (hi - lo) / (GRID - 1)
+                for x in np.array_split(part["x"].to_numpy(), len(part) // 4096 + 1):
+                    z = (gx[:, None] - x[None, :]) / h
+                    sums[key] = sums.get(key, 0.0) + np.exp(-0.5 * z * z).sum(axis=1)
+        for (sep, measure), s in sums.items():
+            yield pd.DataFrame({"separation": sep, "measure": measure, "k": np.arange(GRID), "s": s})
+
+    sums = (lg.mapInPandas(kernel, "separation string, measure string, k long, s double")
+              .groupBy(*grp, "k").agg(F.sum("s").alias("s")))
     h = F.nullif(F.col("h"), F.lit(0.0))
-    lo, hi = F.col("lo") - 3 * F.col("h"), F.col("hi") + 3 * F.col("h")
-    pts = vc.join(st, grp).select(*grp, "x", "c", "n", "h", lo.alias("glo"), hi.alias("ghi"),
-                                  F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("k"))
-    gx = F.col("glo") + F.col("k") * (F.col("ghi") - F.col("glo")) / (GRID - 1)
-    pts = pts.withColumn("gx", gx).withColumn(
-        "contrib", F.col("c") * F.exp(-0.5 * F.pow((F.col("gx") - F.col("x")) / h, 2)))
-    dens = pts.groupBy(*grp, "k", "gx", "n", "h").agg(F.sum("contrib").alias("s"))
-    return dens.select(*grp, F.col("k").cast("long").alias("k"), F.col("gx").alias("x"),
-                       (F.col("s") / (F.col("n") * h * math.sqrt(2 * math.pi))).alias("density"))
-
-
-@query("similarity_study")
+    grid = st.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID - 1).cast("long"))))
+    gx = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (GRID - 1)
+    return grid.join(sums, [*grp, "k"], "left").select(
+        *grp, "k", gx.alias("x"), (F.col("s") / (F.col("n") * h * math.sqrt(2 * math.pi))).alias("density"))
+
+
+@query("similarity_study", oracle=f"""
+{SIM_ALL},
+e AS (SELECT 'binary_tanimoto' AS u, 'counted_tanimoto' AS v, 1 - corr(binary_tanimoto, counted_tanimoto) AS w FROM sa
+      UNION ALL SELECT 'binary_tanimoto', 'cosine', 1 - corr(binary_tanimoto, cosine) FROM sa
+      UNION ALL SELECT 'counted_tanimoto', 'cosine', 1 - corr(counted_tanimoto, cosine) FROM sa),
+r AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS k FROM e)
+SELECT u, v, round(w, 6) AS w FROM r WHERE k <= 2   -- a triangle loses its longest edge
+""")
 def similarity_study(spark, sf_dir):
     """X11 + G9: featurise → all pairs → correlate the measures → MST over
     1 − corr (edges between representations)."""
     from ..session import cut_lineage
     c = cut_lineage(similarity_corr(spark, sf_dir))
-    return graph.boruvka_mst(c.select(F.col("a").alias("u"), F.col("b").alias("v"),
-                                      (1 - F.col("corr")).alias("w")))
+    t = graph.boruvka_mst(c.select(F.col("a").alias("u"), F.col("b").alias("v"), (1 - F.col("corr")).alias("w")))
+    return t.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
+
+
+HASHES, BANDS = 24, 8
+PRIME = 2147483647
+
+MINHASH = f"""gm AS (SELECT doc_id, gram, ('0x' || substr(md5(gram), 1, 7))::BIGINT AS x,
+              ('0x' || substr(md5(gram), 8, 7))::BIGINT AS y FROM g),
+mh AS (SELECT doc_id, k, min((x + (k + 1) * y) % {PRIME}) AS m FROM gm, range({HASHES}) t(k) GROUP BY 1, 2),
+bd AS (SELECT doc_id, k // {HASHES // BANDS} AS band, string_agg(m, ',' ORDER BY k) AS sig FROM mh GROUP BY 1, 2),
+cd AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM bd a JOIN bd b ON a.band = b.band AND a.sig = b.sig
+       AND a.doc_id < b.doc_id)"""
 
 
-@query("minhash_pairs")
+@query("minhash_pairs", oracle=f"""
+WITH {GRAMS}, {MINHASH},
+sh AS (SELECT a, b, count(*) AS inter FROM cd JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b AND gb.gram = ga.gram
+       GROUP BY 1, 2)
+SELECT a AS doc_a, b AS doc_b, round(1 - inter / (sa.n + sb.n - inter), 6) AS jaccard_distance
+FROM sh JOIN gs sa ON sa.doc_id = a JOIN gs sb ON sb.doc_id = b
+WHERE 10 * inter >= 6 * (sa.n + sb.n - inter)
+""")
 def minhash_pairs(spark, sf_dir):
-    """MinHash-LSH near-duplicate candidates (3-gram sets, Jaccard distance
-    < 0.4) with Spark ML — approximate by design, so rows-only.
+    """MinHash near-duplicates (word 3-gram sets, Jaccard distance at most 0.4), approximate
+    in what becomes a candidate and exact in the distance.
 
-    Identical sets are collapsed to one signature first, so a large group of
-    copies cannot flood one LSH bucket; copies are paired with each other
-    (distance 0) and expanded to documents only at the end."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
+    A signature holds 24 minima, all from one md5 per gram, in 8 bands of 3.  Copies of
+    one set collapse first, so they never meet inside a band; candidates are pairs of
+    distinct sets that agree in a band, and their distance is taken on the whole sets."""
     from ..session import cut_lineage
-    g = doc_grams(spark, sf_dir).filter(F.size("grams") > 0)
-    g = g.withColumn("sig", F.md5(F.array_join(F.array_sort("grams"), "\u0001")))
+    g = doc_grams(spark, sf_dir).filter(F.size("grams") > 0).withColumn("grams", F.array_sort("grams"))
+    g = cut_lineage(g.withColumn("sig", F.md5(F.array_join("grams", "\u0001"))))
     members = g.select("doc_id", "sig")
-    sets = g.groupBy("sig").agg(F.first("grams").alias("grams"))
-    # materialise the features: the LSH hash UDF must never see an empty vector
-    tf = cut_lineage(HashingTF(inputCol="grams", outputCol="features", numFeatures=1 << 18,
-                               binary=True).transform(sets))
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=8, seed=42).fit(tf)
-    j = model.approxSimilarityJoin(tf, tf, 0.4, distCol="jaccard_distance")
-    sp = (j.select(F.col("datasetA.sig").alias("sa"), F.col("datasetB.sig").alias("sb"), "jaccard_distance")
-           .filter(F.col("sa") < F.col("sb")))
-    same = sets.select(F.col("sig").alias("sa"), F.col("sig").alias("sb"), F.lit(0.0).alias("jaccard_distance"))
-    pairs = sp.unionByName(same)
-    out = (pairs.join(members.select(F.col("doc_id").alias("doc_a"), F.col("sig").alias("sa")), "sa")
-                .join(members.select(F.col("doc_id").alias("doc_b"), F.col("sig").alias("sb")), "sb"))
-    out = out.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"),
-                     "jaccard_distance")
-    return out.filter(F.col("doc_a") < F.col("doc_b")).dropDuplicates(["doc_a", "doc_b"])
+    sets = cut_lineage(g.groupBy("sig").agg(F.first("grams").alias("grams"))
+                        .withColumn("sid", F.monotonically_increasing_id()))
+    md5 = sets.select("sid", F.explode("grams").alias("gram")).withColumn("md5", F.md5("gram"))
+
+    def word(start):
+        return F.conv(F.substring("md5", start, 7), 16, 10).cast("long")
+
+    xy = md5.select("sid", word(1).alias("x"), word(8).alias("y"))
+    minima = xy.groupBy("sid").agg(*[F.min((F.col("x") + (k + 1) * F.col("y")) % PRIME).alias(f"m{k}")
+                                     for k in range(HASHES)])
+    width = HASHES // BANDS
+    bands = cut_lineage(minima.select("sid", F.posexplode(F.array(*[
+        F.concat_ws(",", *[F.col(f"m{k}") for k in range(b * width, (b + 1) * width)]) for b in range(BANDS)]))
+        .alias("band", "key")))
+    cand = (bands.select(F.col("sid").alias("sa"), "band", "key")
+                 .join(bands.select(F.col("sid").alias("sb"), "band", "key"), ["band", "key"])
+                 .filter(F.col("sa") < F.col("sb")).select("sa", "sb").distinct())
+    v = (cand.join(sets.select(F.col("sid").alias("sa"), F.col("grams").alias("ga")), "sa")
+             .join(sets.select(F.col("sid").alias("sb"), F.col("grams").alias("gb")), "sb")
+             .select("sa", "sb", F.size(F.array_intersect("ga", "gb")).alias("inter"),
+                     (F.size("ga") + F.size("gb")).alias("both")))
+    union = F.col("both") - F.col("inter")
+    near = v.filter(10 * F.col("inter") >= 6 * union).select("sa", "sb", (1 - F.col("inter") / union).alias("d"))
+    same = sets.select(F.col("sid").alias("sa"), F.col("sid").alias("sb"), F.lit(0.0).alias("d"))
+    ids = members.join(sets.select("sig", "sid"), "sig").select("doc_id", "sid")
+    out = (near.unionByName(same).join(ids.select(F.col("doc_id").alias("da"), F.col("sid").alias("sa")), "sa")
+               .join(ids.select(F.col("doc_id").alias("db"), F.col("sid").alias("sb")), "sb")
+               .filter((F.col("sa") != F.col("sb")) | (F.col("da") < F.col("db"))))
+    return out.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"),
+                      F.col("d").alias("jaccard_distance"))

@@ -95,18 +95,12 @@ SELECT o_orderkey, stratum, CASE WHEN p <= ceil(m * 0.8) THEN 'train' ELSE 'val'
 UNION ALL SELECT o_orderkey, stratum, 'test' AS role FROM b WHERE r1 = 'test'
 """)
 def stratified_split_max(spark, sf_dir):
-    """T8 + F11: stratum = index of the last positive in the multi-hot array;
+    """T8 + F11: stratum = index of the last positive (the greatest label: indexes follow label order);
     80/20 train/test, then 80/20 of train into train/val."""
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
-    n_labels = d.count()
-    y = (ol.join(joins.bounded_broadcast(d, 100_000), "label").groupBy("o_orderkey")
-           .agg(F.collect_set("label_idx").alias("idx"))
-           .select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)),
-                                             lambda i: F.array_contains("idx", i).cast("int")).alias("y")))
-    last_pos = F.array_max(F.filter(F.transform("y", lambda x, i: F.when(x == 1, i)),
-                                    lambda v: v.isNotNull()))
-    st = y.select("o_orderkey", last_pos.cast("long").alias("stratum"))
+    st = (ol.groupBy("o_orderkey").agg(F.max("label").alias("label")).join(d, "label")
+            .select("o_orderkey", F.col("label_idx").cast("long").alias("stratum")))
     a = splits.position_cut(st, "stratum", "o_orderkey", "s1", 0.8, "train", "test", role="r1")
     test = a.filter(F.col("r1") == "test").select("o_orderkey", "stratum", F.lit("test").alias("role"))
     b = splits.position_cut(a.filter(F.col("r1") == "train").drop("r1"), "stratum", "o_orderkey",

@@ -161,7 +161,7 @@ def test_group_position_matches_row_number(spark):
     from pyspark.sql import Window
     from sievekit.operators.splits import seeded_hash
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), "id").withColumn("h", seeded_hash(7, "id"))
-    ours = ranking.group_position(df, "g", "h", prefix_len=1)
+    ours = ranking.group_position(df, "g", "h")
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h")))
     bad = ours.join(ref, ["g", "id"]).filter(F.col("pos") != F.col("rn")).count()
     assert bad == 0
