@@ -310,7 +310,7 @@ def similarity_density(spark, sf_dir):
 {SIM_ALL},
 e AS (SELECT 'binary_tanimoto' AS u, 'counted_tanimoto' AS v, 1 - corr(binary_tanimoto, counted_tanimoto) AS w FROM sa
       UNION ALL SELECT 'binary_tanimoto', 'cosine', 1 - corr(binary_tanimoto, cosine) FROM sa
-      UNION ALL SELECT 'counted_tanimoto', 'cosine', 1 - corr(counted_tanimoto, cosine) FROM sa),
+      UNION ALL SELECT 'cosine', 'counted_tanimoto', 1 - corr(counted_tanimoto, cosine) FROM sa),   -- u < v
 r AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS k FROM e)
 SELECT u, v, round(w, 6) AS w FROM r WHERE k <= 2   -- a triangle loses its longest edge
 """)
