@@ -11,13 +11,11 @@ from ..sources import table
 from ..streaming import decontaminate_stream, ingest_stream, running_metric_stream
 from .registry import query
 
-N_LANDED_FILES = 4
-
 
 def land(df, name, spark, by):
-    """Write ``df`` as several files (range-partitioned on ``by``) to a landing folder."""
+    """Write ``df`` to a landing folder, range-partitioned on ``by`` over the shuffle partitions."""
     path = scratch_path(spark, name)
-    df.repartitionByRange(N_LANDED_FILES, by).write.parquet(path)
+    df.repartitionByRange(by).write.parquet(path)
     return path
 
 
