@@ -343,43 +343,9 @@ FROM sh JOIN gs sa ON sa.doc_id = a JOIN gs sb ON sb.doc_id = b
 WHERE 10 * inter >= 6 * (sa.n + sb.n - inter)
 """)
 def minhash_pairs(spark, sf_dir):
-    """MinHash near-duplicates (word 3-gram sets, Jaccard distance at most 0.4), approximate
-    in what becomes a candidate and exact in the distance.
-
-    A signature holds 24 minima, all from one md5 per gram, in 8 bands of 3.  Copies of
-    one set collapse first, so they never meet inside a band; candidates are pairs of
-    distinct sets that agree in a band, and their distance is taken on the whole sets."""
-    from ..session import cut_lineage
-    g = doc_grams(spark, sf_dir).filter(F.size("grams") > 0).withColumn("grams", F.array_sort("grams"))
-    g = cut_lineage(g.withColumn("sig", F.md5(F.array_join("grams", "\u0001"))))
-    members = g.select("doc_id", "sig")
-    sets = cut_lineage(g.groupBy("sig").agg(F.first("grams").alias("grams"))
-                        .withColumn("sid", F.monotonically_increasing_id()))
-    md5 = sets.select("sid", F.explode("grams").alias("gram")).withColumn("md5", F.md5("gram"))
-
-    def word(start):
-        return F.conv(F.substring("md5", start, 7), 16, 10).cast("long")
-
-    xy = md5.select("sid", word(1).alias("x"), word(8).alias("y"))
-    minima = xy.groupBy("sid").agg(*[F.min((F.col("x") + (k + 1) * F.col("y")) % PRIME).alias(f"m{k}")
-                                     for k in range(HASHES)])
-    width = HASHES // BANDS
-    bands = cut_lineage(minima.select("sid", F.posexplode(F.array(*[
-        F.concat_ws(",", *[F.col(f"m{k}") for k in range(b * width, (b + 1) * width)]) for b in range(BANDS)]))
-        .alias("band", "key")))
-    cand = (bands.select(F.col("sid").alias("sa"), "band", "key")
-                 .join(bands.select(F.col("sid").alias("sb"), "band", "key"), ["band", "key"])
-                 .filter(F.col("sa") < F.col("sb")).select("sa", "sb").distinct())
-    v = (cand.join(sets.select(F.col("sid").alias("sa"), F.col("grams").alias("ga")), "sa")
-             .join(sets.select(F.col("sid").alias("sb"), F.col("grams").alias("gb")), "sb")
-             .select("sa", "sb", F.size(F.array_intersect("ga", "gb")).alias("inter"),
-                     (F.size("ga") + F.size("gb")).alias("both")))
-    union = F.col("both") - F.col("inter")
-    near = v.filter(10 * F.col("inter") >= 6 * union).select("sa", "sb", (1 - F.col("inter") / union).alias("d"))
-    same = sets.select(F.col("sid").alias("sa"), F.col("sid").alias("sb"), F.lit(0.0).alias("d"))
-    ids = members.join(sets.select("sig", "sid"), "sig").select("doc_id", "sid")
-    out = (near.unionByName(same).join(ids.select(F.col("doc_id").alias("da"), F.col("sid").alias("sa")), "sa")
-               .join(ids.select(F.col("doc_id").alias("db"), F.col("sid").alias("sb")), "sb")
-               .filter((F.col("sa") != F.col("sb")) | (F.col("da") < F.col("db"))))
-    return out.select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"),
-                      F.col("d").alias("jaccard_distance"))
+    """Near-duplicates (word 3-gram sets, Jaccard distance at most 0.4), all of them: the
+    exact prefix-filter join at 0.6 in place of bands of minima.  Sets without a gram meet nothing."""
+    g = doc_grams(spark, sf_dir).filter(F.size("grams") > 0)
+    p = setsim.prefix_join(g, None, "doc_id", "grams", 0.6)
+    return p.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"),
+                    (1 - F.col("sim")).alias("jaccard_distance"))
