@@ -2,7 +2,8 @@
 
 Text blocks (lines) are joined with license notice templates by containment:
 a block meets a template when it holds at least ``threshold`` of the template's
-distinct words.  Template words are ordered by their frequency over all
+distinct words, all words that tell the license from its likes, and none that name another
+one.  Template words are ordered by their frequency over all
 documents, rarest first.  A block that meets a template must share one of
 its first |T| - need + 1 words (prefix filter), must have at least ``need`` words
 (length filter), and from the first shared word on enough words must remain on
@@ -45,6 +46,12 @@ TEMPLATES = {
 }
 
 
+# words a block must hold, and words it must not hold, to meet the notice of that label
+TELLING = {"apache": ["apache"], "cc-by-nc": ["nc"], "cc-by-sa": ["sharealike"], "gpl": ["gnu", "general"],
+           "lgpl": ["lesser"], "mit": ["mit"], "mpl": ["mozilla"]}
+FOREIGN = {"gpl": ["lesser", "affero"]}
+
+
 def scan_words(text: Column) -> Column:
     """Words of the lower-cased text: runs of digits, a-z and anything beyond ASCII."""
     return split_words(F.lower(text), NON_ALNUM)
@@ -70,7 +77,8 @@ def word_order(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def containment_join(words: DataFrame, key: str, templates: dict[str, str],
-                     threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+                     threshold: tuple[int, int] = THRESHOLD, telling: dict[str, list[str]] = TELLING,
+                     foreign: dict[str, list[str]] = FOREIGN) -> DataFrame:
     """(key, line, template, shared, size) of every line that meets a template.
 
     ``words`` has ``key``, the text ``_t`` and its words ``_w``."""
@@ -84,9 +92,10 @@ def containment_join(words: DataFrame, key: str, templates: dict[str, str],
         ordered = sorted(s, key=rank.get)
         need = -(-len(ordered) * num // den)
         for i, w in enumerate(ordered[:len(ordered) - need + 1]):
-            prefix.append((w, label, i, ordered, need))
+            prefix.append((w, label, i, ordered, need, telling.get(label, []), foreign.get(label, [])))
     table_of = spark.createDataFrame(
-        prefix, "word string, template string, at int, ordered array<string>, need int")
+        prefix, "word string, template string, at int, ordered array<string>, need int, "
+                "telling array<string>, foreign array<string>")
     starts = sorted({p[0] for p in prefix})
     by_rank = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.get)])
     lines = (words.filter(F.arrays_overlap("_w", F.array(*[F.lit(w) for w in starts])))
@@ -100,6 +109,7 @@ def containment_join(words: DataFrame, key: str, templates: dict[str, str],
     left = F.least(F.size("ordered") - F.col("at"),
                    F.size("_known") - F.array_position("_known", F.col("word")).cast("int") + 1)
     hit = hit.filter(left >= F.col("need"))
+    hit = hit.filter((F.size(F.array_except("telling", "_b")) == 0) & ~F.arrays_overlap("foreign", "_b"))
     shared = F.size(F.array_intersect("ordered", "_known"))
     return (hit.select(key, "line", "template", shared.alias("shared"), F.size("ordered").alias("size"), "need")
             .filter(F.col("shared") >= F.col("need")).drop("need"))
