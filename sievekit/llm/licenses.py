@@ -1,14 +1,16 @@
 """Operator 4: license scans as an exact set-similarity join.
 
-Text blocks (lines) are joined with license notice templates by containment:
-a block meets a template when it holds at least ``threshold`` of the template's
-distinct words, all words that tell the license from its likes, and none that name another
-one.  Template words are ordered by their frequency over all
-documents, rarest first.  A block that meets a template must share one of
-its first |T| - need + 1 words (prefix filter), must have at least ``need`` words
-(length filter), and from the first shared word on enough words must remain on
-both sides (positional filter); what is left is verified on the full sets.  The
-template table is a parameter of fixed size, so only it is broadcast.
+Text blocks are joined with license notice templates by containment: a block is a run
+of consecutive words, across line ends, of at most 1 / ``threshold`` of the notice's words
+(so wrapped notices are whole and words scattered over a text do not add up).  A block
+meets a template when it holds at least ``threshold`` of the template's distinct words,
+all words that tell the license from its likes, and none that name another one.
+
+Template words are ordered by their frequency over all documents, rarest first.  A block
+that meets a template must hold one of its first |T| - need + 1 words (prefix filter), so
+only the surroundings of those words are looked at; they must have ``need`` words of the
+template (length filter), and what is left is verified block by block.  The template table
+is a parameter of fixed size, so only it is broadcast.
 
 A base scan beside it finds exact phrases anywhere in the word sequence.
 
@@ -45,7 +47,6 @@ TEMPLATES = {
     "mpl": "subject to the terms of the mozilla public license",
 }
 
-
 # words a block must hold, and words it must not hold, to meet the notice of that label
 TELLING = {"apache": ["apache"], "cc-by-nc": ["nc"], "cc-by-sa": ["sharealike"], "gpl": ["gnu", "general"],
            "lgpl": ["lesser"], "mit": ["mit"], "mpl": ["mozilla"]}
@@ -76,12 +77,11 @@ def word_order(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (freq.get(w, 0), w)))}
 
 
-def containment_join(words: DataFrame, key: str, templates: dict[str, str],
-                     threshold: tuple[int, int] = THRESHOLD, telling: dict[str, list[str]] = TELLING,
-                     foreign: dict[str, list[str]] = FOREIGN) -> DataFrame:
-    """(key, line, template, shared, size) of every line that meets a template.
+def containment_join(words: DataFrame, key: str, templates: dict[str, str], threshold: tuple[int, int] = THRESHOLD,
+                     telling: dict[str, list[str]] = TELLING, foreign: dict[str, list[str]] = FOREIGN) -> DataFrame:
+    """(key, template, shared, size) of the blocks around a prefix word that meet a template.
 
-    ``words`` has ``key``, the text ``_t`` and its words ``_w``."""
+    ``words`` has ``key`` and the words ``_w`` of the text; ``shared`` is that of the best block."""
     num, den = threshold
     sets = template_sets(templates)
     vocabulary = sorted({w for s in sets.values() for w in s})
@@ -91,27 +91,32 @@ def containment_join(words: DataFrame, key: str, templates: dict[str, str],
     for label, s in sets.items():
         ordered = sorted(s, key=rank.get)
         need = -(-len(ordered) * num // den)
-        for i, w in enumerate(ordered[:len(ordered) - need + 1]):
-            prefix.append((w, label, i, ordered, need, telling.get(label, []), foreign.get(label, [])))
+        length = -(-len("".join(c if c.isalnum() else " " for c in templates[label]).split()) * den // num)
+        for w in ordered[:len(ordered) - need + 1]:
+            prefix.append((w, label, ordered, need, length, telling.get(label, []), foreign.get(label, [])))
     table_of = spark.createDataFrame(
-        prefix, "word string, template string, at int, ordered array<string>, need int, "
+        prefix, "word string, template string, ordered array<string>, need int, length int, "
                 "telling array<string>, foreign array<string>")
     starts = sorted({p[0] for p in prefix})
-    by_rank = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.get)])
-    lines = (words.filter(F.arrays_overlap("_w", F.array(*[F.lit(w) for w in starts])))
-             .select(key, F.posexplode(F.split("_t", "\n")).alias("line", "_l"))
-             .select(key, "line", F.array_distinct(scan_words(F.col("_l"))).alias("_b"))
-             .select(key, "line", "_b", F.array_intersect(by_rank, F.col("_b")).alias("_known")))
-    met = lines.select("*", F.explode(F.array_intersect("_known", F.array(*[F.lit(w) for w in starts]))).alias("word"))
-    hit = met.join(F.broadcast(table_of), "word").filter(F.size("_b") >= F.col("need"))
-    # keep the first shared word only: nothing of the template before it is in the block
-    hit = hit.filter(F.size(F.array_intersect(F.slice("ordered", 1, F.col("at")), F.col("_known"))) == 0)
-    left = F.least(F.size("ordered") - F.col("at"),
-                   F.size("_known") - F.array_position("_known", F.col("word")).cast("int") + 1)
-    hit = hit.filter(left >= F.col("need"))
-    hit = hit.filter((F.size(F.array_except("telling", "_b")) == 0) & ~F.arrays_overlap("foreign", "_b"))
-    shared = F.size(F.array_intersect("ordered", "_known"))
-    return (hit.select(key, "line", "template", shared.alias("shared"), F.size("ordered").alias("size"), "need")
+    reach = max((p[4] for p in prefix), default=1)
+    places = F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(starts), i)))
+    hit = (words.filter(F.arrays_overlap("_w", F.array(*[F.lit(w) for w in starts])))
+           .select(key, "_w", F.explode(places).alias("_i")))
+    # the words up to reach - 1 before and behind the prefix word, and its place among them
+    first = F.greatest(F.col("_i") - (reach - 1), F.lit(0))
+    hit = hit.select(key, F.get("_w", F.col("_i")).alias("word"), (F.col("_i") - first).alias("_at"),
+                     F.slice("_w", first + 1, F.col("_i") - first + reach).alias("_near"))
+    hit = hit.join(F.broadcast(table_of), "word")
+    hit = hit.filter((F.size(F.array_intersect("ordered", "_near")) >= F.col("need"))
+                     & (F.size(F.array_except("telling", "_near")) == 0))
+    begins = F.sequence(F.greatest(F.col("_at") - F.col("length") + 2, F.lit(1)), F.col("_at") + 1)
+
+    def held(i: Column) -> Column:
+        block = F.slice("_near", i, F.col("length"))
+        own = (F.size(F.array_except("telling", block)) == 0) & ~F.arrays_overlap("foreign", block)
+        return F.when(own, F.size(F.array_intersect("ordered", block))).otherwise(0)
+    return (hit.select(key, "template", "need", F.array_max(F.transform(begins, held)).alias("shared"),
+                       F.size("ordered").alias("size"))
             .filter(F.col("shared") >= F.col("need")).drop("need"))
 
 
@@ -137,7 +142,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """One row per document: base places, base labels, all labels and the best containment."""
     # rows that repeat a key are told apart by their text
     words = docs.select(F.col(key), text_of(text).alias("_t")).select(
-        key, "_t", F.xxhash64("_t").alias("_tid"), scan_words(F.col("_t")).alias("_w"))
+        key, F.xxhash64("_t").alias("_tid"), scan_words(F.col("_t")).alias("_w"))
     base = (words.select(key, "_tid", F.size("_w").cast("long").alias("n_words"),
                          phrase_places(F.col("_w"), phrases).alias("_p"))
             .select(key, "_tid", "n_words", F.size("_p").cast("long").alias("n_base"),
@@ -145,7 +150,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     F.array_max(F.transform("_p", lambda x: x["start"])).alias("last_word"),
                     F.array_sort(F.array_distinct(F.transform("_p", lambda x: x["label"]))).alias("_base")))
     row = F.struct(F.col(key).alias("k"), F.col("_tid").alias("t"))
-    joined = containment_join(words.withColumn("_row", row), "_row", templates)
+    joined = containment_join(words.select(row.alias("_row"), "_w"), "_row", templates)
     found = (joined.groupBy("_row").agg(F.collect_set("template").alias("_more"),
                                         F.max(F.col("shared") / F.col("size")).alias("_best"))
              .select(F.col("_row.k").alias("_k"), F.col("_row.t").alias("_kt"), "_more", "_best"))

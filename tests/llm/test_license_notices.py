@@ -22,3 +22,23 @@ def test_each_notice_gets_only_its_own_label(labels):
               "Subject to the terms of the Eclipse Public License",
               "This work is licensed under the GNU Lesser General Public License version 3"]
     assert labels(others) == ["", "", "", "", "", "lgpl"]
+
+
+def test_a_notice_may_be_wrapped_anywhere(labels):
+    texts, want = [], []
+    for label, notice in licenses.TEMPLATES.items():
+        w = notice.split()
+        for cut in range(1, len(w)):
+            texts.append("Some file\n * " + " ".join(w[:cut]) + "\n * " + " ".join(w[cut:]) + ".\nEnd.")
+            want.append(label)
+    assert labels(texts) == want
+
+
+def test_scattered_words_are_no_notice(labels):
+    scattered = [" ".join(f"{w} one two three four" for w in n.split()) for n in licenses.TEMPLATES.values()]
+    assert labels(scattered) == [""] * len(scattered)
+
+
+def test_a_notice_among_scattered_words(labels):
+    far = [" ".join(f"{w} one two three four" for w in n.split()) for n in licenses.TEMPLATES.values()]
+    assert labels([f"{x} {n} {x}" for x, n in zip(far, licenses.TEMPLATES.values())]) == list(licenses.TEMPLATES)
