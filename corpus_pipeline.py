@@ -5,14 +5,16 @@ returns a DataFrame that is written as Parquet and read again as the next one's
 ``docs``.  All but the last return the columns of ``documents``:
 
 1. quality rules: documents that fail the base rule or lie far from every language reference go.
-2. language ID: documents without a letter, or without a clear language, go.
+2. language ID: documents without a letter, or without a clear language, go; where no row has a
+   language to learn from, only those without a letter go.
 3. near-dedup: the smallest doc_id of every group of near copies (5-word shingles, Jaccard of at
    least 0.8) stays, once.
 4. substring dedup: passages of 50 words or more stay in the smallest doc_id only; the text is
    the kept words joined by one space where something was removed, and n_chars follows it.
 5. best-fit packing: the kept texts as pieces in sequences of at most 2048 tokens.
 
-Cases: null texts fail the base rule of stage 1; empty tables pass through all stages; ties and
+Cases: null texts fail the base rule of stage 1; rows with a null doc_id are in no group of near copies
+and stay, equal texts once; nulls in lang, source and n_chars remove nothing; empty tables pass through all stages; ties and
 repeated rows are settled by doc_id and, where that repeats, by equal texts being one document.
 """
 
@@ -56,15 +58,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
     docs = docs.select(*COLUMNS)
-    found = predict(docs, train(docs))
+    model = train(docs)
+    if not model.langs:
+        # nothing to tell languages by: only texts without a letter go
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = predict(docs, model)
     return found.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
     docs = docs.select(*COLUMNS)
-    stay = near_duplicates(docs, threshold=NEAR).filter("kept").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    stay = near_duplicates(docs, threshold=NEAR).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    # rows with a null id are in no group and stay
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
