@@ -69,9 +69,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _ready(spark)
     docs = docs.select(*COLUMNS)
-    stay = near_duplicates(docs, threshold=NEAR).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    # rows with a null id are in no group and stay
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    # rows with a null id are in no group and stay; rows that share an id are told apart by a hash of the text
+    stay = (near_duplicates(docs, threshold=NEAR, text_hash="_hash").filter("kept")
+            .select(F.col("doc_id").alias("_id"), "_hash").distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ With 20 bands of 4 registers a pair at the threshold 0.85 shares no band with pr
 (1 - 0.85**4)**20 = 4e-7; the likelihood cut lies eight standard deviations below the threshold.
 
 Cases: a null text, or one without words, has an empty set and is linked with
-nothing; ties go to the smallest id; repeated rows are equal sets, and different texts
-under one id count as one node, verified by the smallest text; rows with a null id are returned alone with a null component; an empty table gives no rows; extra
+nothing; ties go to the smallest id; repeated rows are equal sets, and different sets
+under one id are nodes of their own: where they meet in one component, the first by digest is kept; rows with a null id are returned alone with a null component; an empty table gives no rows; extra
 columns do not matter, the result holds ``key`` and the columns it adds.
 """
 
@@ -116,7 +116,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_shingles, digest of the set, band hashes); no bands for an empty set."""
+    """(id, text hash, n_shingles, digest of the set, band hashes); no bands for an empty set."""
     for batch in batches:
         for a, b, data, offs in text_slices(batch.column("_t")):
             sh, first = shingle_sets(data, offs)
@@ -134,9 +134,9 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, x in zip(full, hashed):
                     bands[k] = x
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(signed(d1)),
+                [batch.column("_id").slice(a, b - a), batch.column("_x").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(signed(d1)),
                  pa.array(signed(d2)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["_id", "n_shingles", "d1", "d2", "bands"])
+                names=["_id", "_x", "n_shingles", "d1", "d2", "bands"])
 
 
 class _Forest:
@@ -227,19 +227,24 @@ def _tile_links(num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                    threshold: tuple[int, int] = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(key, n_shingles, component_id, kept): the smallest id of a component is kept."""
-    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
+                    threshold: tuple[int, int] = THRESHOLD, tile: int = TILE, text_hash: str | None = None) -> DataFrame:
+    """(key, n_shingles, component_id, kept): the smallest id of a component is kept.
+
+    With ``text_hash``, a column of that name holds xxhash64 of the row's text."""
+    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"), F.xxhash64(text).alias("_x"))
     sketched = cut_lineage(source.mapInArrow(
-        _sketch_rows, "_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
+        _sketch_rows, "_id long, _x long, n_shingles long, d1 long, d2 long, bands array<long>"))
     full = sketched.filter("n_shingles > 0 and _id is not null")
+    # a set is a node, numbered once written; the row that stands for it is its smallest (id, text hash)
     sets = cut_lineage(full.groupBy("n_shingles", "d1", "d2").agg(
-        F.min("_id").alias("rep"), F.first("bands").alias("bands")))
-    banded = sets.select("rep", F.posexplode("bands").alias("band", "value"))
-    heads = cut_lineage(banded.groupBy("band", "value").agg(F.min("rep").alias("a"), F.max("rep").alias("_z"))
+        F.min(F.struct("_id", "_x")).alias("_rep"), F.first("bands").alias("bands"))
+        .select("n_shingles", "d1", "d2", F.col("_rep._id").alias("rep"), F.col("_rep._x").alias("rep_x"), "bands",
+                F.monotonically_increasing_id().alias("node")))
+    banded = sets.select("node", F.posexplode("bands").alias("band", "value"))
+    heads = cut_lineage(banded.groupBy("band", "value").agg(F.min("node").alias("a"), F.max("node").alias("_z"))
                         .filter("a < _z").drop("_z"))
-    stars = cut_lineage(banded.join(heads, ["band", "value"]).filter("a < rep")
-                        .select("a", F.col("rep").alias("b")).distinct())
+    stars = cut_lineage(banded.join(heads, ["band", "value"]).filter("a < node")
+                        .select("a", F.col("node").alias("b")).distinct())
     member = cut_lineage(components(stars).select(F.col("node").alias("_m"), F.col("label").alias("cluster")))
     placed = hash_ranks(member, ["cluster"], ["_m"], "rank", member.count(), per_bucket=tile) \
         .select("_m", "cluster", F.floor(F.col("rank") / tile).cast("int").alias("tile"))
@@ -249,18 +254,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "_m", "cluster", "tile", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("other"))
     pairs = pairs.select("_m", "cluster", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"),
                          (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    # rows of one id with different texts: the text that stands for the set is the smallest
-    texts = (source.join(placed.select("_m"), F.col("_id") == F.col("_m")).groupBy("_id").agg(F.min("_t").alias("_t")))
+    shown = placed.select("_m").join(sets.select(F.col("node").alias("_m"), "rep", "rep_x"), "_m")
+    texts = (source.join(shown, (F.col("_id") == F.col("rep")) & (F.col("_x") == F.col("rep_x")))
+             .groupBy(F.col("_m").alias("_id")).agg(F.min("_t").alias("_t")))
     tiled = (texts.join(pairs, F.col("_id") == F.col("_m")).select("cluster", "ti", "tj", "side", "_id", "_t")
              .repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj", "side", "_id"))
     found = cut_lineage(tiled.mapInArrow(_tile_links(*threshold), "a long, b long"))
     linked = cut_lineage(components(found))
-    labelled = cut_lineage(sets.join(linked, F.col("rep") == F.col("node"), "left")
-                           .select("n_shingles", "d1", "d2", F.coalesce("label", "rep").alias("component_id")))
+    grouped = cut_lineage(sets.select("n_shingles", "d1", "d2", "rep", "node").join(linked, "node"))
+    first = (grouped.groupBy("label").agg(F.min(F.struct("rep", "d1", "d2", "n_shingles", "node")).alias("_first"))
+             .select("label", F.col("_first.rep").alias("component_id"), F.col("_first.node").alias("_least")))
+    member_of = grouped.join(first, "label").select("node", "component_id", (F.col("node") == F.col("_least")).alias("_lead"))
+    labelled = cut_lineage(sets.select("n_shingles", "d1", "d2", "rep", "node").join(member_of, "node", "left")
+                           .select("n_shingles", "d1", "d2", F.coalesce("component_id", "rep").alias("component_id"),
+                                   F.coalesce("_lead", F.lit(True)).alias("_lead")))
     out = sketched.join(labelled, ["n_shingles", "d1", "d2"], "left")
     component = F.when((F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("_id"))
-    return (out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))))
+    component = F.when(F.col("_id").isNotNull(), component)
+    kept = F.col("_id").isNull() | ((F.col("_id") == F.col("_c")) & F.coalesce("_lead", F.lit(True)))
+    return (out.withColumn("_c", component)
+            .select(F.col("_id").alias(key), "n_shingles", F.col("_c").alias("component_id"), kept.alias("kept"),
+                    *([F.col("_x").alias(text_hash)] if text_hash else [])))
 
 
 @query("op6_setsketch_near_dedup", oracle=rf"""

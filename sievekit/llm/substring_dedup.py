@@ -21,7 +21,8 @@ tables, which Spark splits when a key is skewed.  No pair of documents is ever
 formed.  Anchors are 64-bit hashes and only nominate; windows are judged by 96 bits.
 
 Cases: a null or empty text has no words and keeps nothing; ids are integers;
-rows with an equal id are judged against smaller ids only, and each is returned; a
+rows with an equal id are judged against smaller ids only, and each is returned by its own text
+(rows are told apart by id and a hash of the text); a
 null id is smaller than none and larger than none, so such rows are kept whole;
 an empty table gives no rows; other columns are passed through, those named like the
 results are replaced.
@@ -77,14 +78,15 @@ def _is_copy(s1: np.ndarray, lists) -> list[bool]:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, hash of the word sequence) per row."""
+    """(id, text hash, n_words, hash of the word sequence) per row."""
     for batch in batches:
         for a, b, data, offs in text_slices(batch.column("_t")):
             w = find_words(data, offs)
             s1, s2 = _sequence_hash(w, w.hashes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").slice(a, b - a), pa.array(w.counts.astype(np.int64)), pa.array(signed(s1)),
-                 pa.array(signed(s2))], names=["_id", "n_words", "s1", "s2"])
+                [batch.column("_id").slice(a, b - a), batch.column("_x").slice(a, b - a),
+                 pa.array(w.counts.astype(np.int64)), pa.array(signed(s1)), pa.array(signed(s2))],
+                names=["_id", "_x", "n_words", "s1", "s2"])
 
 
 def _anchor_rows(period: int, window: int):
@@ -94,7 +96,7 @@ def _anchor_rows(period: int, window: int):
     q = window - period + 1
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, id, position, sequence) at cover positions of rows that have a whole window."""
+        """(anchor, id, text hash, position, sequence) at cover positions of rows that have a whole window."""
         for batch in batches:
             for a, b, data, offs in text_slices(batch.column("_t")):
                 w = find_words(data, offs)
@@ -106,8 +108,9 @@ def _anchor_rows(period: int, window: int):
                 h = span_hashes(words, at, at + q, WINDOW_BASE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(h)), batch.column("_id").slice(a, b - a).take(pa.array(row)),
+                     batch.column("_x").slice(a, b - a).take(pa.array(row)),
                      pa.array(pos.astype(np.int32)), pa.array(signed(_sequence_hash(w, words)[0])[row])],
-                    names=["h", "_id", "pos", "s1"])
+                    names=["h", "_id", "_x", "pos", "s1"])
     return anchors
 
 
@@ -129,7 +132,7 @@ def _near_windows(w: Words, h: np.ndarray, lists, window: int, period: int):
 
 def _window_rows(window: int, period: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(window hash, id), once per row and window."""
+        """(window hash, id, text hash), once per row and window."""
         for batch in batches:
             lists = batch.column("_at").to_numpy(zero_copy_only=False)
             copies = batch.column("_copy").to_numpy(zero_copy_only=False)
@@ -145,7 +148,8 @@ def _window_rows(window: int, period: int):
                 new[1:] = (row[1:] != row[:-1]) | (w1[1:] != w1[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(w1[new])), pa.array(w2[new]),
-                     batch.column("_id").slice(a, b - a).take(pa.array(row[new]))], names=["w1", "w2", "_id"])
+                     batch.column("_id").slice(a, b - a).take(pa.array(row[new])),
+                     batch.column("_x").slice(a, b - a).take(pa.array(row[new]))], names=["w1", "w2", "_id", "_x"])
     return run
 
 
@@ -202,31 +206,34 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
         raise ValueError("the period lies between 1 and the window")
     added = {"n_words", "n_removed", "kept_text", "kept_sha256"}
     names = [c for c in docs.columns if c not in {*added, text}]
-    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
+    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"),
+                         F.xxhash64(text).alias("_x"))
 
-    sequences = cut_lineage(source.mapInArrow(_sequences, "_id long, n_words long, s1 long, s2 long"))
+    sequences = cut_lineage(source.mapInArrow(_sequences, "_id long, _x long, n_words long, s1 long, s2 long"))
     long_ones = sequences.filter((F.col("n_words") >= window) & F.col("_id").isNotNull())
     firsts = cut_lineage(long_ones.groupBy("s1", "s2").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
                          .filter("_n > 1").select("s1", "s2", "_least"))
     copies = cut_lineage(long_ones.join(firsts, ["s1", "s2"]).filter("_id > _least")
-                         .groupBy("_id").agg(F.collect_set("s1").alias("_copy")))
+                         .groupBy("_id", "_x").agg(F.collect_set("s1").alias("_copy")))
 
-    spots = source.filter("_id is not null").mapInArrow(_anchor_rows(period, window), "h long, _id long, pos int, s1 long")
+    spots = source.filter("_id is not null").mapInArrow(
+        _anchor_rows(period, window), "h long, _id long, _x long, pos int, s1 long")
     shared = cut_lineage(spots.groupBy("h").agg(F.min("s1").alias("_lo"), F.max("s1").alias("_hi"))
                          .filter("_lo < _hi").select("h"))
-    places = (spots.join(shared, "h").select("_id", "pos")
-              .groupBy("_id").agg(F.sort_array(F.collect_set("pos")).alias("_at")))
-    places = cut_lineage(places.join(copies, "_id", "left"))
-    stretches = cut_lineage(source.join(places, "_id").mapInArrow(
-        _window_rows(window, period), "w1 long, w2 int, _id long"))
+    places = (spots.join(shared, "h").select("_id", "_x", "pos")
+              .groupBy("_id", "_x").agg(F.sort_array(F.collect_set("pos")).alias("_at")))
+    places = cut_lineage(places.join(copies, ["_id", "_x"], "left"))
+    stretches = cut_lineage(source.join(places, ["_id", "_x"]).mapInArrow(
+        _window_rows(window, period), "w1 long, w2 int, _id long, _x long"))
     least = cut_lineage(stretches.groupBy("w1", "w2").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
                         .filter("_lo < _hi").select("w1", "w2", "_lo"))
     drops = (stretches.join(least, ["w1", "w2"]).filter("_id > _lo")
-             .groupBy("_id").agg(F.collect_set("w1").alias("_drop")))
-    marks = cut_lineage(drops.join(copies, "_id", "full")
-                        .select(F.col("_id").alias("_mark"), "_drop", "_copy"))
-    marked = (docs.select(*names, F.col(text).alias("_t"), F.col(key).cast("long").alias("_k"))
-              .join(marks, F.col("_k") == F.col("_mark"), "left")
+             .groupBy("_id", "_x").agg(F.collect_set("w1").alias("_drop")))
+    marks = cut_lineage(drops.join(copies, ["_id", "_x"], "full")
+                        .select(F.col("_id").alias("_mark"), F.col("_x").alias("_mark_x"), "_drop", "_copy"))
+    marked = (docs.select(*names, F.col(text).alias("_t"), F.col(key).cast("long").alias("_k"),
+                          F.xxhash64(text).alias("_x"))
+              .join(marks, (F.col("_k") == F.col("_mark")) & (F.col("_x") == F.col("_mark_x")), "left")
               .select(*names, "_t", "_drop", "_copy"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
     return marked.mapInArrow(
