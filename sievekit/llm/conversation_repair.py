@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..sources.tables import table
+from .native import null_safe_join
 from .registry import query
 
 PIECE = 128      # rows of a piece
@@ -381,21 +382,12 @@ def _arrow_type(kind) -> pa.DataType:
 
 # --- conversations of several pieces --------------------------------------------------------------
 
-def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi join in which a null key meets a null key."""
-    other = b.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
-    same = F.lit(True)
-    for n, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
-    return a.join(other, same, how).drop(*[f"_k{n}" for n in range(len(keys))])
-
-
 def _numbered(edges: DataFrame) -> DataFrame:
     """Edge pieces with their gapless number inside the conversation."""
     sizes = edges.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select("conv_id", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return _join(edges, offs, ["conv_id", "part"]).withColumn("piece", F.col("_off") + F.col("chunk")).drop("_off")
+    return null_safe_join(edges, offs, ["conv_id", "part"]).withColumn("piece", F.col("_off") + F.col("chunk")).drop("_off")
 
 
 def _repeats(pieces: DataFrame) -> DataFrame:
@@ -403,7 +395,7 @@ def _repeats(pieces: DataFrame) -> DataFrame:
     keys = pieces.select("conv_id", "piece", F.posexplode(F.arrays_zip("h1", "h2"))) \
         .select("conv_id", "col.h1", "col.h2", F.struct("piece", "pos").alias("at"))
     first = keys.groupBy("conv_id", "h1", "h2").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    later = _join(keys, first, ["conv_id", "h1", "h2"]).filter("at > _first")
+    later = null_safe_join(keys, first, ["conv_id", "h1", "h2"]).filter("at > _first")
     return later.groupBy("conv_id", F.col("at.piece").alias("piece")).agg(F.collect_list("at.pos").alias("again"))
 
 
@@ -470,8 +462,8 @@ def _states(pieces: DataFrame, grammar: Grammar, fan: int) -> DataFrame:
     for n, level in enumerate(reversed(levels)):
         here = level.withColumn("_at", F.col("node") if n == 0 else F.floor(F.col("node") / fan))
         above = ways.select("conv_id", F.col("node").alias("_at"), "_start", "_end", "_total")
-        step = _join(here, above, ["conv_id", "_at"])
-        found = cut_lineage(_join(step.groupBy("conv_id", "_at").applyInPandas(_down, out)
+        step = null_safe_join(here, above, ["conv_id", "_at"])
+        found = cut_lineage(null_safe_join(step.groupBy("conv_id", "_at").applyInPandas(_down, out)
                                   .withColumn("_at", F.col("node") if n == 0 else F.floor(F.col("node") / fan)),
                                   above.select("conv_id", "_at", "_total"), ["conv_id", "_at"]))
         ways = found.select("conv_id", "node", F.col("start").alias("_start"), F.col("end").alias("_end"),
@@ -523,18 +515,18 @@ def repair(rows: DataFrame, piece_rows: int = PIECE, fan: int = FAN) -> Repaired
 
     edges = cut_lineage(_numbered(pieces.filter("edge")))
     mark = F.udf(_mark, "string")
-    edges = cut_lineage(_join(edges.drop("h1", "h2"), _repeats(edges), ["conv_id", "piece"], "left")
+    edges = cut_lineage(null_safe_join(edges.drop("h1", "h2"), _repeats(edges), ["conv_id", "piece"], "left")
                         .withColumn("codes", mark("codes", "again")).drop("again"))
     states = cut_lineage(_states(edges, grammar, fan))
     tail = states.groupBy("conv_id").agg(F.max("piece").alias("_tail"))
-    placed = _join(_join(edges, states, ["conv_id", "piece"]), tail, ["conv_id"])
+    placed = null_safe_join(null_safe_join(edges, states, ["conv_id", "piece"]), tail, ["conv_id"])
     many = placed.select("conv_id", "piece", "edge", "codes", "roles", "texts", "start", "end",
                          (F.col("piece") == F.col("_tail")).alias("last")).mapInArrow(run, ddl)
     repaired = cut_lineage(done.unionByName(many))
 
     # between neighbouring pieces: one more adjacent pair, and a turn that both hold
     ahead = edges.select("conv_id", (F.col("piece") + 1).alias("piece"), F.col("last").alias("_last"), F.col("high").alias("_high"))
-    met = _join(edges.select("conv_id", "piece", "edge", *figures), ahead, ["conv_id", "piece"], "left")
+    met = null_safe_join(edges.select("conv_id", "piece", "edge", *figures), ahead, ["conv_id", "piece"], "left")
     seam = ~F.concat("_last", "first").isin(*LEGAL)
     met = met.withColumn("illegal", F.col("illegal") + F.coalesce(seam.cast("long"), F.lit(0))) \
         .withColumn("n_turns", F.col("n_turns") - F.coalesce((F.col("_high") == F.col("low")).cast("long"), F.lit(0)))
@@ -547,7 +539,7 @@ def repair(rows: DataFrame, piece_rows: int = PIECE, fan: int = FAN) -> Repaired
         F.sum(lacks(BLANK)).alias("blank"), F.sum(lacks(REPEAT)).alias("duplicate"), F.sum(lacks("SUAO")).alias("truncated"))
     costs = repaired.filter("not edge").select("conv_id", "cost").unionByName(
         states.groupBy("conv_id").agg(F.max("total").alias("cost")))
-    whole = _join(sums, costs, ["conv_id"]).select(
+    whole = null_safe_join(sums, costs, ["conv_id"]).select(
         "conv_id", F.coalesce(F.col("_high") - F.col("_low") + 1 - F.col("_n"), F.lit(0)).cast("long").alias("gaps"),
         "blank", "duplicate", "truncated", "illegal", "cost", "edge")
     return Repaired(whole, repaired)
@@ -609,7 +601,7 @@ def digests(pieces: DataFrame) -> DataFrame:
         .select("conv_id", "body").mapInArrow(run, ddl)
     audits = many.groupBy("conv_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("piece", "audit"))), lambda x: x["audit"]), "").alias("audit"))
-    return lone.unionByName(_join(audits, hashed, ["conv_id"]).select("conv_id", "audit", "repaired_sha256"))
+    return lone.unionByName(null_safe_join(audits, hashed, ["conv_id"]).select("conv_id", "audit", "repaired_sha256"))
 
 
 @query("op11_grammar_repair")
@@ -622,10 +614,10 @@ def op11_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repair_digest(rows: DataFrame, piece_rows: int = PIECE, fan: int = FAN) -> DataFrame:
     """The contract's columns for every conversation of ``rows``."""
     found = repair(damage(rows), piece_rows, fan)
-    whole = _join(found.conversations, digests(found.pieces), ["conv_id"])
+    whole = null_safe_join(found.conversations, digests(found.pieces), ["conv_id"])
     every = rows.select("conv_id").distinct()
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return _join(every, whole, ["conv_id"], "left").select(
+    return null_safe_join(every, whole, ["conv_id"], "left").select(
         "conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))

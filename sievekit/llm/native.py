@@ -54,3 +54,12 @@ def hash_ranks(df: DataFrame, group: list[str], keys: list[str], out: str,
     return (ranked.join(starts, match)
             .withColumn(out, (F.col("_start") + F.col("_near")).cast("long"))
             .drop("_draw", "_bucket", "_b", "_n", "_start", "_near", *[f"_g_{g}" for g in group]))
+
+
+def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join in which a null key meets a null key; the keys of ``a`` stay."""
+    other = b.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[c for c in b.columns if c not in keys])
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return a.join(other, same, how).drop(*[f"_k{n}" for n in range(len(keys))])
