@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, scratch_path
 from .ranking import global_position, group_position
 
 
@@ -49,6 +50,83 @@ def stratified_folds(strata: DataFrame, id_col: str, k: int = 5, reps: int = 5)
     return p.select("rep", id_col, "stratum", ((F.col("__pos") - 1) % k).alias("fold"))
 
 
+def _deal(given: list[int], sizes: list[int], position: Column) -> Column:
+    """Fold of the row at a 1-based position when every row goes to the fold that still wants most.
+
+    ``given`` are the label's rows per fold so far and ``sizes`` all rows per fold.  All folds want
+    the same share, so fold j is ``given[j]`` rows behind its demand: the folds with fewest rows are
+    filled first, then one more fold joins, and the rows go round the joined folds.  A fold's rows of
+    other labels, ``sizes - given``, settle ties, then its number; the order stays the same
+    from turn to turn, so a fold is a few comparisons on the position and no row waits for the one before.
+    """
+    k = len(given)
+    order = sorted(range(k), key=lambda j: (sizes[j] - given[j], j))
+    start, fold = 0, None
+    levels = sorted(set(given))
+    for n, level in enumerate(levels):
+        joined = [j for j in order if given[j] <= level]
+        turn = F.array(*[F.lit(j) for j in joined])[((position - 1 - start) % len(joined)).cast("int")]
+        fold = turn if fold is None else F.when(position > start, turn).otherwise(fold)
+        if n + 1 < len(levels):
+            start += (levels[n + 1] - level) * len(joined)
+    return fold.cast("long")
+
+
+def iterative_folds(long: DataFrame, id_col: str, label: str, k: int = 5, reps: int = 5) -> DataFrame:
+    """(rep, id, fold) by iterative stratification of a multi-label table (id, label).
+
+    A round takes the label with the fewest open rows (ties: by label) and deals them, in the order
+    of md5(rep | id), to the fold that still wants most rows of that label, ties to the fold that
+    wants most rows in all, then to the lower number; every label of a dealt row lowers that
+    fold's demand.  The counts (labels x folds x repetitions, sized by the vocabulary) are the only
+    state on the driver.  The open rows of a label do not depend on the folds, so all repetitions
+    share a round.  The rows are written once per label that they hold, and a round reads
+    its own label's rows only; positions come from range partitions, so a label on most rows is dealt
+    by many tasks.
+    """
+    spark = long.sparkSession
+    pairs = long.select(id_col, label).filter(F.col(label).isNotNull()).distinct()
+    counts = {r[label]: r["n"] for r in pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(counts)
+    number = {x: n for n, x in enumerate(names)}
+    held = pairs.groupBy(id_col).agg(F.collect_list(label).alias("__labels"))
+    if not names:
+        return held.select(F.lit(0).cast("long").alias("rep"), id_col, F.lit(0).cast("long").alias("fold"))
+    path = scratch_path(spark, "label-rows")
+    numbers = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    (held.select(id_col, F.array_sort(F.transform("__labels", lambda x: numbers[x])).alias("__held"))
+         .withColumn("__label", F.explode("__held")).write.partitionBy("__label").parquet(path))
+    rows = spark.read.parquet(path)
+    open_rows = [counts[x] for x in names]
+    given = [[[0] * k for _ in names] for _ in range(reps)]
+    sizes = [[0] * k for _ in range(reps)]
+    done, parts = [], []
+    while len(done) < len(names):
+        now = min((n for n in range(len(names)) if n not in done), key=lambda n: (open_rows[n], n))
+        left = rows.filter(F.col("__label") == now).drop("__label")
+        if done:
+            left = left.filter(~F.arrays_overlap("__held", F.array(*[F.lit(n) for n in done])))
+        done.append(now)
+        if not open_rows[now]:
+            continue
+        x = left.withColumn("rep", F.explode(F.array(*[F.lit(r).cast("long") for r in range(reps)])))
+        x = x.withColumn("__h", seeded_hash(F.col("rep"), id_col))
+        placed = group_position(x, "rep", "__h", name="__pos")
+        fold = F.lit(None).cast("long")
+        for r in range(reps):
+            fold = F.when(F.col("rep") == r, _deal(given[r][now], sizes[r], F.col("__pos"))).otherwise(fold)
+        dealt = cut_lineage(placed.select("rep", id_col, "__held", fold.alias("fold")))
+        parts.append(dealt)
+        for c in dealt.select("rep", "fold", F.explode("__held").alias("n")).groupBy("rep", "fold", "n").count().collect():
+            given[c["rep"]][c["n"]][c["fold"]] += c["count"]
+            open_rows[c["n"]] -= c["count"] if c["rep"] == 0 else 0
+            sizes[c["rep"]][c["fold"]] += c["count"] if c["n"] == now else 0
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("rep", id_col, "fold")
+
+
 def position_cut(df: DataFrame, stratum: str, id_col: str, seed, frac: float,
                  inside: str, outside: str, role: str = "role") -> DataFrame:
     """Per stratum, the first ceil(frac·m) rows by md5(seed‖id) get ``inside``.

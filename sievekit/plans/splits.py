@@ -55,6 +55,13 @@ def stratified_kfold(spark, sf_dir):
     return kfold_table(spark, sf_dir)
 
 
+@query("iterative_kfold")
+def iterative_kfold(spark, sf_dir):
+    """5 repetitions x 5 folds by iterative stratification: every label's rows, not only those of
+    the rarest label of a row, are spread evenly."""
+    return splits.iterative_folds(order_labels(spark, sf_dir), "o_orderkey", "label", k=5, reps=5)
+
+
 @query("train_val_cut", oracle=f"""
 WITH {OL}, {STRATA}, {KFOLD},
 part AS (SELECT rep, test_fold, o_orderkey, stratum, fold FROM f, range(5) t(test_fold)),
