@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions.text import words
-from ..operators import allpairs, graph, joins, quantiles, setsim
+from ..operators import allpairs, graph, joins, minhash, quantiles, setsim
 from ..sources import table
 from .graph import LT, OP, offset_pairs
 from .registry import query
@@ -323,20 +323,9 @@ def similarity_study(spark, sf_dir):
     return t.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w")
 
 
-HASHES, BANDS = 24, 8
-PRIME = 2147483647
-
-MINHASH = f"""gm AS (SELECT doc_id, gram, ('0x' || substr(md5(gram), 1, 7))::BIGINT AS x,
-              ('0x' || substr(md5(gram), 8, 7))::BIGINT AS y FROM g),
-mh AS (SELECT doc_id, k, min((x + (k + 1) * y) % {PRIME}) AS m FROM gm, range({HASHES}) t(k) GROUP BY 1, 2),
-bd AS (SELECT doc_id, k // {HASHES // BANDS} AS band, string_agg(m, ',' ORDER BY k) AS sig FROM mh GROUP BY 1, 2),
-cd AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM bd a JOIN bd b ON a.band = b.band AND a.sig = b.sig
-       AND a.doc_id < b.doc_id)"""
-
-
 @query("minhash_pairs", oracle=f"""
-WITH {GRAMS}, {MINHASH},
-sh AS (SELECT a, b, count(*) AS inter FROM cd JOIN g ga ON ga.doc_id = a JOIN g gb ON gb.doc_id = b AND gb.gram = ga.gram
+WITH {GRAMS},
+sh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
        GROUP BY 1, 2)
 SELECT a AS doc_a, b AS doc_b, round(1 - inter / (sa.n + sb.n - inter), 6) AS jaccard_distance
 FROM sh JOIN gs sa ON sa.doc_id = a JOIN gs sb ON sb.doc_id = b
@@ -349,3 +338,66 @@ def minhash_pairs(spark, sf_dir):
     p = setsim.prefix_join(g, None, "doc_id", "grams", 0.6)
     return p.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"),
                     (1 - F.col("sim")).alias("jaccard_distance"))
+
+
+# every gram's values under all permutations, and their least per document
+REGISTERS = f"""hs AS (SELECT doc_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT AS h FROM g),
+mn AS (SELECT doc_id, count(*) AS n_grams, [{", ".join(
+    f"min((h * {a} + {b}) % {minhash.P})" for a, b in minhash.permutations())}] AS r FROM hs GROUP BY doc_id)"""
+
+
+@query("minhash_fingerprint", oracle=f"""
+WITH {GRAMS}, {REGISTERS}
+SELECT doc_id, n_grams, array_to_string(r, ' ') AS registers FROM mn
+""")
+def minhash_fingerprint(spark, sf_dir):
+    """64 registers of permutation minima per document (distinct word 3-grams)."""
+    f = minhash.fingerprints(doc_grams(spark, sf_dir), "doc_id", "grams")
+    return f.select("doc_id", F.col("n_tokens").alias("n_grams"),
+                    F.array_join(F.transform("registers", lambda x: x.cast("string")), " ").alias("registers"))
+
+
+@query("minhash_merged", oracle=f"""
+WITH {GRAMS}, {REGISTERS},
+m AS (SELECT lang, k, min(r[k]) AS v FROM mn JOIN documents USING (doc_id), range(1, {minhash.K + 1}) t(k)
+      WHERE lang IS NOT NULL GROUP BY ALL),
+f AS (SELECT lang, list(v ORDER BY k) AS r FROM m GROUP BY lang)
+SELECT lang, array_to_string(r, ' ') AS registers,
+       round(len(list_filter(list_zip(r, (SELECT list(v ORDER BY k) FROM (SELECT k, min(v) AS v FROM m GROUP BY k))),
+                 lambda z: z[1] = z[2])) / {minhash.K}, 6) AS share_of_all
+FROM f
+""")
+def minhash_merged(spark, sf_dir):
+    """The documents' registers merged per language, and each language's estimated similarity to the
+    union of all: its share of the corpus' distinct grams."""
+    f = minhash.fingerprints(doc_grams(spark, sf_dir), "doc_id", "grams").select("doc_id", "registers")
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang").filter(F.col("lang").isNotNull())
+    merged = minhash.merge(f.join(langs, "doc_id"), "lang")
+    whole = minhash.merge(merged.withColumn("__all", F.lit(0)), "__all").select("registers").scalar()
+    return merged.select(
+        "lang", F.array_join(F.transform("registers", lambda x: x.cast("string")), " ").alias("registers"),
+        minhash.similarity(F.col("registers"), whole).alias("share_of_all"))
+
+
+@query("max_cross_similarity", oracle=f"""
+WITH {GRAMS},
+sh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM g a JOIN g b ON a.gram = b.gram
+       WHERE a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY 1, 2),
+s AS (SELECT a, b, inter / (sa.n + sb.n - inter) AS sim FROM sh JOIN gs sa ON sa.doc_id = a JOIN gs sb ON sb.doc_id = b),
+k AS (SELECT * FROM s WHERE a NOT IN (SELECT a FROM s WHERE sim > 0.6))
+SELECT 'before' AS corpus, round(sim, 6) AS sim, a AS doc_a, b AS doc_b FROM (SELECT * FROM s ORDER BY sim DESC, a, b LIMIT 1)
+UNION ALL
+SELECT 'after', round(sim, 6), a, b FROM (SELECT * FROM k ORDER BY sim DESC, a, b LIMIT 1)
+""")
+def max_cross_similarity(spark, sf_dir):
+    """The greatest similarity between the odd and the even half, before and after the documents above
+    0.6 are dropped."""
+    from ..session import cut_lineage
+    g = cut_lineage(doc_grams(spark, sf_dir).filter(F.size("grams") > 0))
+    odd, even = g.filter(F.col("doc_id") % 2 == 1), g.filter(F.col("doc_id") % 2 == 0)
+    gone = cut_lineage(setsim.matched_any(odd, even, "doc_id", "grams", 0.6, strict=True).select("doc_id"))
+    kept = odd.join(gone, "doc_id", "left_anti")
+    rows = [setsim.greatest_similarity(x, even, "doc_id", "grams").select(
+        F.lit(name).alias("corpus"), "sim", F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+        for name, x in (("before", odd), ("after", kept))]
+    return rows[0].unionByName(rows[1])
