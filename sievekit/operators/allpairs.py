@@ -1,109 +1,194 @@
-"""Blocked all-pairs over dense vectors (J9, F1, W6, W7, G9 on vectors).
-
-Pairs are never stored.  Vectors get ``block = pmod(xxhash64(id), B)`` with
-B = ⌈n / tile⌉, each row is replicated to the B block pairs (b1 ≤ b2) it
-belongs to, and one Arrow-batched ``applyInPandas`` call per block pair
-computes the tile with a single numpy matmul (cosine on L2-normalised rows).
-The kernel emits only what the caller needs — pairs above a threshold,
-per-row bests, per-row partial sums, or per-component Borůvka candidates —
-which Spark then reduces with ordinary aggregates.  Every group holds at
-most 2·tile vectors, whatever the data size.
+"""All pairs over dense vectors, blocks far apart skipped (J9, F1, W6, W7, G9 on vectors).
+
+Pairs are never stored.  Unit vectors are ordered by (nearest pivot, angle to it) and cut into blocks
+of about ``BLOCK`` rows (range partitions), so that a block lies in one direction as far as the data allow.  A
+block has a centre and a radius (its largest angle to the centre); two vectors of blocks with
+centres at angle t cannot be closer than ``t - r1 - r2``.  A pair of blocks is visited only where that
+leaves a chance: above the caller's threshold, above the worst nearest neighbour found inside the
+two blocks, or below the cheapest edge that their components have so far.  A row is copied once per
+visited pair of its block, at most n / BLOCK times where nothing can be skipped (vectors without any
+clusters), and ``skipped`` reports the share.
+
+One Arrow-batched ``applyInPandas`` call per visited pair multiplies ``SUB`` x ``SUB`` tiles, and emits only
+what the caller needs: pairs above a threshold, per-row bests, or per-component Borůvka
+candidates, which Spark reduces with ordinary aggregates.  A group holds about 2 * BLOCK vectors.
+Vectors of length zero have no cosine and meet nothing.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-TILE = 2048
-MIN_BLOCKS = 8          # at least B(B+1)/2 = 36 tiles, so small inputs still spread over tasks
+BLOCK = 8192
+SUB = 2048
+MIN_BLOCKS = 8          # small inputs still spread over tasks
+PIVOTS = 256            # vectors that set the directions of the blocks; a bounded sample, any choice is exact
+SLACK = 1e-7            # for the rounding of angles
 
 
-def _tiles(vecs: DataFrame, id_col: str, vec_col: str, tile: int, extra: list[str] = (),
-           n: int | None = None) -> DataFrame:
-    n = vecs.count() if n is None else n
-    nb = max(1, min(n, max(math.ceil(n / tile), MIN_BLOCKS)))
-    x = vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                    *extra, F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("blk"))
-    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("__o"))
-    return x.select(F.least("blk", "__o").alias("b1"), F.greatest("blk", "__o").alias("b2"),
-                    "id", "vec", "blk", *extra)
+class Blocks(NamedTuple):
+    measured: bool      # False: few blocks, of any directions, and every pair is visited
+    rows: DataFrame     # id, vec (unit length), blk
+    pairs: DataFrame    # b1 <= b2, reach: greatest cosine that a pair of their vectors can have
 
 
-def _sides(pdf: pd.DataFrame):
-    b1, b2 = int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
-    a = pdf[pdf["blk"] == b1]
-    b = pdf[pdf["blk"] == b2]
-    return b1 == b2, a, b
+def _unit(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def _chain(pivots: np.ndarray) -> np.ndarray:
+    """The pivots in an order in which each is followed by the nearest one left, so that blocks across two pivots stay narrow."""
+    c, order, left = pivots @ pivots.T, [0], set(range(1, len(pivots)))
+    while left:
+        order.append(max(left, key=lambda k: c[order[-1], k]))
+        left.remove(order[-1])
+    return pivots[order]
+
+
+def _nearest_pivot(pivots: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                c = np.clip(_unit(pdf["vec"]) @ pivots.T, -1, 1)
+                k = c.argmax(axis=1)
+                yield pdf.assign(pivot=k.astype("int32"), angle=np.arccos(c[np.arange(len(k)), k]))
+    return run
 
 
-def _normed(df: pd.DataFrame) -> np.ndarray:
-    if len(df) == 0:
-        return np.zeros((0, 0))
-    x = np.stack(df["vec"].to_numpy()).astype(np.float64)
-    nrm = np.linalg.norm(x, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(nrm > 0, x / nrm, np.nan)
+def _extent(pdf: pd.DataFrame) -> pd.DataFrame:
+    x = _unit(pdf["vec"])
+    mean = x.mean(axis=0)
+    length = np.linalg.norm(mean)
+    centre = mean / length if length > 1e-12 else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return pd.DataFrame({"blk": pdf["blk"].iloc[:1], "centre": [centre], "radius": [radius]})
 
 
-def _cos_tile(pdf: pd.DataFrame):
-    same, a, b = _sides(pdf)
-    ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-    s = _normed(a) @ _normed(b).T if len(a) and len(b) else np.zeros((len(a), len(b)))
-    valid = (ia[:, None] < ib[None, :]) if same else (ia[:, None] != ib[None, :])
-    return same, a, b, ia, ib, s, valid
+def make_blocks(vecs: DataFrame, id_col: str, vec_col: str, tile: int = BLOCK) -> Blocks:
+    x = F.col(vec_col).cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
+    unit = (vecs.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), norm.alias("n")).filter("n > 0")
+                .select("id", F.transform("x", lambda v: v / F.col("n")).alias("vec")))
+    n = vecs.count()
+    nb = max(1, min(n, max(math.ceil(n / tile), MIN_BLOCKS)))
+    if nb <= MIN_BLOCKS:
+        # few pairs of blocks: a visit to each costs less than finding out which to skip
+        rows = unit.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int"))
+        pairs = vecs.sparkSession.range(nb).select(F.col("id").cast("int").alias("b1")) \
+            .withColumn("b2", F.explode(F.sequence(F.col("b1"), F.lit(nb - 1))))
+        return Blocks(False, rows, pairs.withColumn("reach", F.lit(1.0)))
+    pivots = [r["vec"] for r in unit.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, nb)).collect()]
+    if not pivots:
+        return Blocks(False, unit.withColumn("blk", F.lit(0)), vecs.sparkSession.createDataFrame([], "b1 int, b2 int, reach double"))
+    near = unit.mapInPandas(_nearest_pivot(_chain(np.array(pivots))), "id long, vec array<double>, pivot int, angle double")
+    rows = cut_lineage(near.repartitionByRange(nb, "pivot", "angle", "id")
+                       .select("id", "vec", F.spark_partition_id().alias("blk")))
+    extent = rows.groupBy("blk").applyInPandas(_extent, "blk int, centre array<double>, radius double")
+    one = extent.select(F.col("blk").alias("b1"), F.col("centre").alias("c1"), F.col("radius").alias("r1"))
+    two = extent.select(F.col("blk").alias("b2"), F.col("centre").alias("c2"), F.col("radius").alias("r2"))
+    last = rows.agg(F.max("blk")).scalar()
+    cosine = F.aggregate(F.zip_with("c1", "c2", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    apart = F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))) - F.col("r1") - F.col("r2")
+    pairs = one.withColumn("b2", F.explode(F.sequence(F.col("b1"), last))).join(two, "b2")
+    return Blocks(True, rows, pairs.select("b1", "b2", F.cos(F.greatest(apart - SLACK, F.lit(0.0))).alias("reach")))
+
+
+def skipped(blocks: Blocks, wanted: Column) -> float:
+    """Share of the pairs of blocks that a condition on ``reach`` leaves out."""
+    r = blocks.pairs.agg(F.avg((~wanted).cast("double"))).first()[0]
+    return float(r or 0.0)
+
+
+def _groups(rows: DataFrame, pairs: DataFrame):
+    """The rows of both blocks of every pair, grouped by the pair."""
+    first = rows.join(pairs.select(F.col("b1").alias("blk"), "b1", "b2"), "blk")
+    second = rows.join(pairs.filter("b1 < b2").select(F.col("b2").alias("blk"), "b1", "b2"), "blk")
+    return first.unionByName(second).groupBy("b1", "b2")
+
+
+def _tiles(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray]]:
+    """(rows, columns, cosines, each pair once) of the pair's tiles, rows in order of id."""
+    pdf = pdf.sort_values("id", kind="stable")
+    b1, b2 = int(pdf["b1"].iloc[0]), int(pdf["b2"].iloc[0])
+    a = pdf[pdf["blk"] == b1]
+    b = a if b1 == b2 else pdf[pdf["blk"] == b2]
+    xa = _unit(a["vec"])
+    xb = xa if b1 == b2 else _unit(b["vec"])
+    for i in range(0, len(a), SUB):
+        for j in range(i if b1 == b2 else 0, len(b), SUB):
+            s = xa[i:i + SUB] @ xb[j:j + SUB].T
+            once = np.ones(s.shape, bool)
+            if b1 == b2 and i == j:
+                once = np.triu(once, 1)
+            yield a.iloc[i:i + SUB], b.iloc[j:j + SUB], s, once
 
 
 PAIR_SCHEMA = T.StructType([T.StructField("i", T.LongType()), T.StructField("j", T.LongType()),
                             T.StructField("sim", T.DoubleType())])
 
 
-def cosine_pairs_above(vecs: DataFrame, id_col: str, vec_col: str, threshold: float,
-                       tile: int = TILE) -> DataFrame:
+def cosine_pairs_above(vecs: DataFrame, id_col: str, vec_col: str, threshold: float, tile: int = BLOCK) -> DataFrame:
     """J9 + F1: every unordered pair (i < j) with cosine ≥ threshold."""
 
     def kernel(pdf):
-        _, _, _, ia, ib, s, valid = _cos_tile(pdf)
-        with np.errstate(invalid="ignore"):
-            m = valid & (s >= threshold)
-        r, c = np.nonzero(m)
-        i, j = ia[r], ib[c]
-        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "sim": s[r, c]})
-
-    return _tiles(vecs, id_col, vec_col, tile).groupBy("b1", "b2").applyInPandas(kernel, PAIR_SCHEMA)
+        out = [pd.DataFrame({"i": [], "j": [], "sim": []})]
+        for a, b, s, once in _tiles(pdf):
+            r, c = np.nonzero(once & (s >= threshold))
+            i, j = a["id"].to_numpy()[r], b["id"].to_numpy()[c]
+            out.append(pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "sim": s[r, c]}))
+        return pd.concat(out)
 
+    blocks = make_blocks(vecs, id_col, vec_col, tile)
+    return _groups(blocks.rows, blocks.pairs.filter(F.col("reach") >= threshold - SLACK)).applyInPandas(kernel, PAIR_SCHEMA)
 
-def nearest_neighbours(vecs: DataFrame, id_col: str, vec_col: str, tile: int = TILE) -> DataFrame:
-    """Per vector the most similar other vector (ties → smallest id)."""
 
-    def kernel(pdf):
-        same, a, b, ia, ib, s, valid = _cos_tile(pdf)
-        out = []
-        for rows, cols, mat, ok in ((ia, ib, s, ia[:, None] != ib[None, :]),
-                                    (ib, ia, s.T, ib[:, None] != ia[None, :])):
-            if mat.size == 0:
+def _best_kernel(pdf):
+    """Best partner of every row in the visited tiles (ties → smallest id)."""
+    found = []
+    for a, b, s, once in _tiles(pdf):
+        for rows, cols, m in ((a, b, np.where(once, s, -np.inf)), (b, a, np.where(once, s, -np.inf).T)):
+            if not m.size:
                 continue
-            m = np.where(ok & ~np.isnan(mat), mat, -np.inf)
-            order = np.argsort(cols, kind="stable")            # ties → smallest partner id
-            m, cols_sorted = m[:, order], cols[order]
-            k = np.argmax(m, axis=1)
+            k = m.argmax(axis=1)                    # columns are in order of id
             best = m[np.arange(len(rows)), k]
             keep = np.isfinite(best)
-            out.append(pd.DataFrame({"i": rows[keep], "j": cols_sorted[k][keep], "sim": best[keep]}))
-            if same:
-                break
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "sim": []})
+            found.append(pd.DataFrame({"i": rows["id"].to_numpy()[keep], "j": cols["id"].to_numpy()[k][keep], "sim": best[keep]}))
+    return pd.concat(found) if found else pd.DataFrame({"i": [], "j": [], "sim": []})
+
 
-    cand = _tiles(vecs, id_col, vec_col, tile).groupBy("b1", "b2").applyInPandas(kernel, PAIR_SCHEMA)
+def _best(cand: DataFrame) -> DataFrame:
     best = cand.groupBy("i").agg(F.max(F.struct(F.col("sim").alias("s"), (-F.col("j")).alias("r"))).alias("b"))
-    return best.select(F.col("i").alias(id_col), (-F.col("b.r")).alias("nn_id"), F.col("b.s").alias("sim"))
+    return best.select("i", (-F.col("b.r")).alias("j"), F.col("b.s").alias("sim"))
+
+
+def nearest_neighbours(vecs: DataFrame, id_col: str, vec_col: str, tile: int = BLOCK) -> DataFrame:
+    """Per vector the most similar other vector (ties → smallest id).
+
+    Blocks are first searched by themselves; two blocks meet only if a vector of one might beat the
+    worst best match of the other."""
+    blocks = make_blocks(vecs, id_col, vec_col, tile)
+    if not blocks.measured:
+        found = _best(_groups(blocks.rows, blocks.pairs).applyInPandas(_best_kernel, PAIR_SCHEMA))
+        return found.select(F.col("i").alias(id_col), F.col("j").alias("nn_id"), "sim")
+    blocks = blocks._replace(pairs=cut_lineage(blocks.pairs))
+    own = cut_lineage(_best(_groups(blocks.rows, blocks.pairs.filter("b1 = b2")).applyInPandas(_best_kernel, PAIR_SCHEMA)))
+    worst = (blocks.rows.select("id", "blk").join(own.select(F.col("i").alias("id"), "sim"), "id", "left")
+             .groupBy("blk").agg(F.min(F.coalesce("sim", F.lit(-2.0))).alias("worst")))
+    open_pairs = (blocks.pairs.filter("b1 < b2").join(worst.select(F.col("blk").alias("b1"), F.col("worst").alias("w1")), "b1")
+                  .join(worst.select(F.col("blk").alias("b2"), F.col("worst").alias("w2")), "b2")
+                  .filter(F.col("reach") >= F.least("w1", "w2") - SLACK).select("b1", "b2"))
+    far = _groups(blocks.rows, open_pairs).applyInPandas(_best_kernel, PAIR_SCHEMA)
+    return _best(own.unionByName(far)).select(F.col("i").alias(id_col), F.col("j").alias("nn_id"), "sim")
 
 
 def similarity_row_sums(vecs: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -124,58 +209,72 @@ EDGE_SCHEMA = T.StructType([T.StructField("c", T.LongType()), T.StructField("w",
                             T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
-def cosine_mst(vecs: DataFrame, id_col: str, vec_col: str, tile: int = TILE) -> DataFrame:
-    """G9 on the complete cosine-distance graph without materialising it.
-
-    Borůvka: each round re-runs the tile kernel with the current component
-    label of every vector; per row the kernel emits the cheapest edge to a
-    different component (distance 1 − cos, ties by (u, v)); a min aggregate
-    per component picks the round's edges; components merge by min-label
-    propagation.  O(log n) rounds, O(n) state, no stored pair table.
-    """
-    base = cut_lineage(vecs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
-    comp = base.select("id", F.col("id").alias("comp"))
-    mst = None
-
-    def kernel(pdf):
-        same, a, b, ia, ib, s, valid = _cos_tile(pdf)
+def _edge_kernel(pdf):
+    """Cheapest edge of every row to another component, as candidates of both rows' components."""
+    out = [pd.DataFrame({"c": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64"),
+                         "u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})]
+    for a, b, s, once in _tiles(pdf):
         ca, cb = a["comp"].to_numpy(), b["comp"].to_numpy()
-        ok = (ia[:, None] < ib[None, :]) if same else np.ones((len(ia), len(ib)), bool)
-        ok &= ca[:, None] != cb[None, :]
-        w = np.where(ok & ~np.isnan(s), 1.0 - s, np.inf)
-        out = []
-        for rid, rc, mat, other in ((ia, ca, w, ib), (ib, cb, w.T, ia)):
-            if mat.size == 0:
+        w = np.where(once & (ca[:, None] != cb[None, :]), 1.0 - s, np.inf)
+        for rows, cols, m in ((a, b, w), (b, a, w.T)):
+            if not m.size:
                 continue
-            order = np.argsort(other, kind="stable")    # equal weights → smallest partner id,
-            m, oth = mat[:, order], other[order]         # which is also the smallest (u, v)
-            k = np.argmin(m, axis=1)
-            best = m[np.arange(len(rid)), k]
+            k = m.argmin(axis=1)                    # equal weights → smallest partner id, which is also the smallest (u, v)
+            best = m[np.arange(len(rows)), k]
             keep = np.isfinite(best)
-            p = oth[k][keep]
-            r = rid[keep]
-            out.append(pd.DataFrame({"c": rc[keep].astype("int64"), "w": best[keep],
-                                     "u": np.minimum(r, p).astype("int64"), "v": np.maximum(r, p).astype("int64")}))
-        if not out:
-            return pd.DataFrame({"c": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="float64"),
-                                 "u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64")})
-        return pd.concat(out)
+            r, p = rows["id"].to_numpy()[keep], cols["id"].to_numpy()[k][keep]
+            out.append(pd.DataFrame({"c": rows["comp"].to_numpy()[keep].astype("int64"), "w": best[keep],
+                                     "u": np.minimum(r, p), "v": np.maximum(r, p)}))
+    return pd.concat(out)
+
+
+def _cheapest(cand: DataFrame) -> DataFrame:
+    return cand.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("m")).select("c", "m.u", "m.v", "m.w")
+
+
+def _edges_between(blocks: Blocks, rows: DataFrame) -> DataFrame:
+    """Candidate edges between components, the cheapest of each component among them."""
+    if not blocks.measured:
+        return _groups(rows, blocks.pairs).applyInPandas(_edge_kernel, EDGE_SCHEMA)
+    own = cut_lineage(_cheapest(_groups(rows, blocks.pairs.filter("b1 = b2")).applyInPandas(_edge_kernel, EDGE_SCHEMA)))
+    # per block: its components, and the dearest of their cheapest edges so far (none: no bound)
+    held = rows.select("blk", "comp").distinct().join(own.select(F.col("c").alias("comp"), "w"), "comp", "left")
+    held = held.groupBy("blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                   F.max(F.coalesce("w", F.lit(3.0))).alias("dear"))
+    side = lambda k: held.select(F.col("blk").alias(f"b{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("lo", "hi", "dear")])
+    same = (F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2"))
+    open_pairs = blocks.pairs.filter("b1 < b2").join(side(1), "b1").join(side(2), "b2").filter(
+        ~same & (1 - F.col("reach") <= F.greatest("dear1", "dear2") + SLACK)).select("b1", "b2")
+    far = _groups(rows, open_pairs).applyInPandas(_edge_kernel, EDGE_SCHEMA)
+    return own.select("c", "w", "u", "v").unionByName(far)
+
+
+def cosine_mst(vecs: DataFrame, id_col: str, vec_col: str, tile: int = BLOCK) -> DataFrame:
+    """G9 on the complete cosine-distance graph without materialising it.
 
-    n = base.count()
-    rnd = 0
+    Borůvka: a round takes every component's cheapest edge to another one (distance 1 − cos, ties by
+    (u, v)), and components merge by min-label propagation.  Edges inside the blocks come first and bound
+    every component's cheapest edge; two blocks meet only if they hold different components and their
+    vectors can be closer than the dearest of those bounds.  O(log n) rounds, O(n) state, no stored pair table.
+    """
+    blocks = make_blocks(vecs, id_col, vec_col, tile)
+    if blocks.measured:
+        blocks = blocks._replace(pairs=cut_lineage(blocks.pairs))
+    else:
+        blocks = blocks._replace(rows=cut_lineage(blocks.rows))
+    comp = blocks.rows.select("id", F.col("id").alias("comp"))
+    rounds = [blocks.rows.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("w")).limit(0)]
     while True:
-        rnd += 1
-        x = base.join(comp, "id")
-        cand = _tiles(x, "id", "vec", tile, extra=["comp"], n=n).groupBy("b1", "b2").applyInPandas(kernel, EDGE_SCHEMA)
-        picked = cut_lineage(cand.groupBy("c").agg(F.min(F.struct("w", "u", "v")).alias("m"))
-                             .select("c", "m.u", "m.v", "m.w"))
+        rows = blocks.rows.join(comp, "id")
+        picked = cut_lineage(_cheapest(_edges_between(blocks, rows)))
         if picked.isEmpty():
             break
-        edges = picked.select("u", "v", "w")
-        mst = edges.distinct() if mst is None else mst.unionByName(edges).distinct()
-        comp = cut_lineage(_merge_components(comp, picked))      # self-joined next round
-        mst = cut_lineage(mst)
-    return mst
+        rounds.append(picked.select("u", "v", "w"))
+        comp = cut_lineage(_merge_components(comp, picked))
+    mst = rounds[0]
+    for r in rounds[1:]:
+        mst = mst.unionByName(r)
+    return mst.distinct()
 
 
 def _merge_components(comp: DataFrame, picked: DataFrame) -> DataFrame:
@@ -194,8 +293,11 @@ def _merge_components(comp: DataFrame, picked: DataFrame) -> DataFrame:
                     .select("c", F.when(F.col("root"), F.col("c")).otherwise(F.col("p")).alias("p")))
     parent = cut_lineage(parent)
     while True:
-        nxt = (parent.join(parent.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left")
-                     .select("c", F.coalesce("pp", "p").alias("p2"), "p"))
+        # four steps up before a table is written
+        nxt = parent.select("c", F.col("p").alias("p2"), "p")
+        for _ in range(3):
+            up = parent.select(F.col("c").alias("p2"), F.col("p").alias("pp"))
+            nxt = nxt.join(up, "p2", "left").select("c", F.coalesce("pp", "p2").alias("p2"), "p")
         nxt = cut_lineage(nxt)
         if nxt.filter(F.col("p2") != F.col("p")).isEmpty():
             break
