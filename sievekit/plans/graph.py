@@ -326,6 +326,18 @@ def equation_edges(spark, sf_dir):
     return joins.explode_cross(x, "lft", "rgt").drop("lft", "rgt")
 
 
+@query("equation_edges_lateral", oracle=EQ_SQL)
+def equation_edges_lateral(spark, sf_dir):
+    """The same edges through a Python table function, joined laterally in SQL."""
+    from ..functions import udtfs
+    udtfs.register(spark)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    eq = _equation(F.col("l_quantity"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey"), F.col("l_linenumber"))
+    return spark.sql("""
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, e.src, e.dst
+        FROM {lines} AS l, LATERAL equation_edges(l.equation) AS e""", lines=li.withColumn("equation", eq))
+
+
 @query("primaries_parse", oracle=r"""
 WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   '(R' || l_orderkey || '-' || l_linenumber || ' (:LEFT-PRIMARIES P' || l_partkey || ' S' || l_suppkey

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import text_key
 from ..session import scratch_path
 from ..sources import table
-from ..streaming import decontaminate_stream, ingest_stream, running_metric_stream
+from ..streaming import decontaminate_stream, ingest_stream, running_metric_stream, state
 from .registry import query
 
 
@@ -58,3 +58,51 @@ def stream_decontaminate(spark, sf_dir):
     held = docs.filter(F.col("doc_id") % 2 == 0)
     return decontaminate_stream(spark, stream, held, "key", scratch_path(spark, "sink-docs"),
                                 scratch_path(spark, "ckpt-docs"))
+
+
+@query("stream_auc", oracle="""
+WITH h AS (SELECT CAST(user_id % 10 AS VARCHAR) AS segment, CAST(floor(value) AS BIGINT) AS bin,
+                  sum((event_type = 'click')::BIGINT) AS pos, sum((event_type <> 'click')::BIGINT) AS neg
+           FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY segment ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING
+                       AND 1 PRECEDING), 0) + neg / 2) AS won FROM h)
+SELECT segment, CAST(sum(pos + neg) AS BIGINT) AS n, round(sum(won) / nullif(sum(pos)::DOUBLE * sum(neg), 0), 6) AS auc
+FROM w GROUP BY segment
+""")
+def stream_auc(spark, sf_dir):
+    """R2 + U6: per user segment the area under the ROC curve of ``value`` for clicks, from a histogram that
+    arbitrary stateful processing keeps over the stream of landed files."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    landing = land(ev, "landing-auc", spark, "event_id")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 4).parquet(landing)
+    sink = scratch_path(spark, "sink-auc")
+    state.histogram_stream(spark, stream, F.col("user_id") % 10, F.col("event_id"), F.floor("value"),
+                           F.col("event_type") == "click", sink, scratch_path(spark, "ckpt-auc"))
+    return state.area_under_roc(state.reduced(spark, sink)).select(F.col("grp").alias("segment"), "n", "auc")
+
+
+@query("record_stream", oracle="""
+SELECT 'P' || p_partkey AS unique_id, p_type || '|' || p_brand AS types, p_name || ' ' || p_name AS common_name,
+       p_size AS size FROM part
+""")
+def record_stream(spark, sf_dir):
+    """S3 + R1: parts written as ``//``-ended records with a wrapped value, read as a stream by the records data
+    source into an append-only table."""
+    from ..functions.text import first_value
+    from ..sources.records import RecordSource
+    pa = table(spark, sf_dir, "part")
+    s = lambda c: F.col(c).cast("string")
+    rec = F.concat_ws("\n", F.concat(F.lit("UNIQUE-ID - P"), s("p_partkey")), F.concat(F.lit("TYPES - "), "p_type"),
+                      F.concat(F.lit("TYPES - "), "p_brand"), F.lit("# a comment"), F.concat(F.lit("COMMON-NAME - "), "p_name"),
+                      F.concat(F.lit("/"), "p_name"), F.concat(F.lit("SIZE - "), s("p_size")), F.lit("//"))
+    landing = scratch_path(spark, "landing-records")
+    pa.select(rec.alias("value")).repartitionByRange("value").write.text(landing)
+    spark.dataSource.register(RecordSource)
+    sink = scratch_path(spark, "sink-records")
+    q = (spark.readStream.format("sievekit_records").load(landing).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", scratch_path(spark, "ckpt-records")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    a = F.col("attrs")
+    return spark.read.parquet(sink).select(
+        first_value(a, "UNIQUE-ID").alias("unique_id"), F.array_join(F.element_at(a, "TYPES"), "|").alias("types"),
+        first_value(a, "COMMON-NAME").alias("common_name"), first_value(a, "SIZE").cast("int").alias("size"))
