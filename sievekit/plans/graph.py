@@ -124,13 +124,27 @@ SELECT p.g AS l_orderkey, m.L AS chain_len, array_to_string(min(path), '>') AS c
 FROM p JOIN m ON p.g = m.g AND len(p.path) = m.L GROUP BY p.g, m.L
 """)
 def longest_chain(spark, sf_dir):
-    """G4 + G5: longest simple path of every order's (possibly cyclic) type
-    graph, ties → smallest node list; exact path enumeration by rounds."""
-    best = graph.longest_simple_paths(type_edges(spark, sf_dir), "g", "s", "d")
+    """G4 + G5: longest simple path of every order's (possibly cyclic) type graph, ties → smallest
+    node list; acyclic groups by rounds of the DAG, cyclic ones by their strongly connected components."""
+    best = graph.longest_chains(type_edges(spark, sf_dir), "g", "s", "d")
     return best.select(F.col("g").alias("l_orderkey"), F.col("chain_len").cast("long").alias("chain_len"),
                        F.array_join("chain", ">").alias("chain"))
 
 
+@query("strong_components", oracle=f"""
+WITH RECURSIVE {LT}, {TE},
+e AS (SELECT DISTINCT g, s, d FROM te),
+n AS (SELECT g, s AS node FROM e UNION SELECT g, d FROM e),
+r(g, a, b) AS (SELECT g, node, node FROM n UNION SELECT r.g, r.a, e.d FROM r JOIN e ON e.g = r.g AND e.s = r.b)
+SELECT x.g AS l_orderkey, x.a AS node, min(x.b) AS component
+FROM r x JOIN r y ON y.g = x.g AND y.a = x.b AND y.b = x.a GROUP BY ALL
+""")
+def strong_components(spark, sf_dir):
+    """G2 + G4: strongly connected component of every node of every order's type graph."""
+    c = graph.strong_components(type_edges(spark, sf_dir), "g", "s", "d")
+    return c.select(F.col("g").alias("l_orderkey"), F.col("n").alias("node"), F.col("comp").alias("component"))
+
+
 @query("chain_survival", oracle="""
 WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
 i AS (SELECT l_orderkey, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS grp FROM d),
