@@ -3,12 +3,13 @@
 Only the length histogram (at most ``capacity`` numbers) is packed.  A
 configuration is a multiset of lengths that fits one sequence.  The program
 "fewest configurations that cover the histogram" is solved by multiplicative
-weights: every round a knapsack dynamic program finds the configuration of
-largest price, the (fractional) solution takes as much of it as the unserved demand
-allows, and the lengths in it lose price in proportion.  The solution is rounded down
-to whole sequences.  The pieces left over are priced and packed likewise in whole copies
-while that fills sequences, and the rest goes, longest first, to the fullest open
-sequence that takes it (best fit).
+weights: every round a knapsack dynamic program prices configurations, the (fractional)
+solution takes as much of them as the unserved demand allows, and the lengths in them
+lose price in proportion.  The rounds follow the number of lengths: they go on until no
+configuration of the lengths left fills a sequence.  The solution is rounded to whole
+sequences, the pieces left over are priced and packed likewise in whole copies, and what
+fills no sequence goes, longest first, to the fullest open sequence that takes it (best
+fit).  ``Plan.served`` counts the pieces of each step.
 
 The plan is a list of (configuration, copies).  Pieces are ranked inside their
 length by many tasks, and a join on (length, rank block) gives each one its sequence
@@ -24,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,10 @@ from .registry import query
 from .word_bpe import load_tokenizer
 
 CAPACITY = 2048
-ROUNDS = 150
-REPAIRS = 100
-TILT = 0.5
-STEP = 0.5
+TILT = 0.25       # long lengths start dearer: short ones fit anywhere and should stay for the gaps
+STEP = 0.1
+STARTS = 16       # configurations that one knapsack program gives
+FILL = 1 / 1024   # of a sequence may stay free in a configuration of the program
 END_ID = 0
 
 # fixed values: the split pattern of the byte-level vocabulary
@@ -65,8 +67,15 @@ class Encoder:
         byte = {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
         ranks = {bytes(byte[c] for c in t): i for t, i in self.tok.get_vocab(with_added_tokens=False).items()
                  if t not in self.special}
+        self.check(ranks)
         self.fast = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def check(self, ranks: dict[bytes, int]) -> None:
+        """The ids must be merge ranks: bytes first, then every token in the order of its merge."""
+        by_rank = sorted(ranks, key=ranks.get)
+        if any(len(t) != 1 for t in by_rank[:256]) or any(len(t) == 1 for t in by_rank[256:]):
+            raise ValueError("the vocabulary's ids are not merge ranks")
+
     def encode(self, text: str) -> np.ndarray:
         if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
@@ -101,88 +110,110 @@ def _piece_rows(path: str, capacity: int):
     return run
 
 
-def knapsack(price: np.ndarray, lengths: np.ndarray, supply: np.ndarray, capacity: int) -> dict[int, int]:
-    """A multiset of lengths within the capacity and the supply of large total price.
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest total price of lengths within every capacity, and a length that attains it (0: no more fits).
 
-    Dynamic program over capacities; the trace back keeps to the supply, and what that
-    leaves free is filled with the longest lengths that still fit."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(lengths)
-    ls, ps = lengths[order], price[order]
+    ``price`` is indexed by length; any number of each length may be used."""
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
-        m = int(np.searchsorted(ls, c, side="right"))
+        v = best[c - 1::-1] + price[1:c + 1]
+        k = int(v.argmax())
         best[c] = best[c - 1]
-        if m:
-            v = best[c - ls[:m]] + ps[:m]
-            j = int(v.argmax())
-            if v[j] > best[c]:
-                best[c], choice[c] = v[j], order[j]
-    out: dict[int, int] = {}
-    c = capacity
+        if v[k] > best[c]:
+            best[c], choice[c] = v[k], k + 1
+    return best, choice
+
+
+def configuration(start: int, best: np.ndarray, choice: np.ndarray, price: np.ndarray, supply: np.ndarray,
+                  capacity: int) -> dict[int, int]:
+    """{length: pieces} of the greatest price that holds ``start``, traced back through the knapsack; a length
+    that the supply no longer holds gives way to the best other one."""
+    out, c = {start: 1}, capacity - start
     while c > 0:
-        j = int(choice[c])
-        if j < 0:
+        size = int(choice[c])
+        if not size:
             c -= 1
-        elif out.get(j, 0) < supply[j]:
-            out[j] = out.get(j, 0) + 1
-            c -= int(lengths[j])
-        else:
-            break
-    for j in order[::-1]:
-        n = min(int(supply[j]) - out.get(int(j), 0), c // int(lengths[j]))
-        if n > 0:
-            out[int(j)] = out.get(int(j), 0) + n
-            c -= n * int(lengths[j])
+            continue
+        if out.get(size, 0) >= supply[size]:
+            v = best[c - 1::-1] + price[1:c + 1]
+            v[supply[1:c + 1] <= 0] = -np.inf
+            for used, n in out.items():
+                if used <= c and n >= supply[used]:
+                    v[used - 1] = -np.inf
+            size = int(v.argmax()) + 1
+            if not np.isfinite(v[size - 1]):
+                break
+        out[size] = out.get(size, 0) + 1
+        c -= size
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(configuration {length: pieces}, copies) that use up the histogram exactly."""
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    demand = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    left, out = demand.copy(), []
-
-    def take(config: dict[int, int], copies: int) -> None:
-        for j, n in config.items():
-            left[j] -= n * copies
-        out.append(({int(lengths[j]): n for j, n in config.items()}, copies))
-    for j in np.flatnonzero(lengths == capacity):
-        take({int(j): 1}, int(left[j]))
-    # multiplicative weights on the covering program; amounts are fractional
-    # long pieces start dearer: short ones fit anywhere and should stay for the gaps
-    weight, rest, amounts = (lengths / capacity) ** TILT, left.astype(float), []
-    for _ in range(rounds):
-        live = np.flatnonzero(rest >= 1)
-        if not len(live):
-            break
-        # the price of a length is its size, lowered as its demand gets served
-        found = knapsack((lengths * weight)[live], lengths[live], rest[live].astype(np.int64), capacity)
-        config = {int(live[j]): n for j, n in found.items()}
-        amount = min(rest[j] / n for j, n in config.items())
-        for j, n in config.items():
-            rest[j] -= n * amount
-            weight[j] *= np.exp(-STEP * n * amount / demand[j])
-        amounts.append((config, amount))
-    for config, amount in amounts:
-        copies = int(amount + 1e-9)
+def cover(rest: np.ndarray, capacity: int, whole: bool) -> list[tuple[dict[int, int], float]]:
+    """Configurations and amounts (whole ones on request) that use up ``rest``, pieces by length.
+
+    Multiplicative weights: a round prices the lengths, one knapsack program serves the ``STARTS`` longest lengths
+    that have a full configuration, each takes as much as the demand left allows, and the lengths in it lose
+    price by the share of their demand that was served.  Every step uses up a length or lowers its demand,
+    and the rounds end when no configuration of the lengths left fills a sequence up to ``FILL``."""
+    sizes = np.arange(capacity + 1)
+    weight, wanted, found = (sizes / capacity) ** TILT, np.maximum(rest, 1.0), []
+    while True:
+        live = np.flatnonzero(rest > 1e-9)
+        price = np.where(rest > 1e-9, sizes * weight, -np.inf)
+        best, choice = knapsack(price, capacity) if len(live) else (price, price)
+        taken = 0
+        for start in live[::-1]:
+            supply = np.ceil(rest - 1e-9).astype(np.int64)
+            if taken == STARTS or supply[start] <= 0:
+                continue
+            config = configuration(int(start), best, choice, price, supply, capacity)
+            amount = min(rest[x] / n for x, n in config.items())
+            amount = float(int(amount + 1e-9)) if whole else amount
+            if not amount or sum(x * n for x, n in config.items()) < capacity * (1 - FILL):
+                continue
+            taken += 1
+            for x, n in config.items():
+                rest[x] = max(0.0, rest[x] - n * amount)
+                weight[x] *= np.exp(-STEP * n * amount / wanted[x])
+            found.append((config, amount))
+        if not taken:
+            return found
+
+
+class Plan(NamedTuple):
+    configurations: list[tuple[dict[int, int], int]]    # {length: pieces} and copies
+    served: dict[str, int]                              # pieces packed by each step
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Configurations and copies that use up the histogram exactly."""
+    left, out, served = np.zeros(capacity + 1, dtype=np.int64), [], {}
+    for size, n in histogram.items():
+        left[size] = n
+
+    def take(config: dict[int, int], copies: int, step: str) -> None:
+        for x, n in config.items():
+            left[x] -= n * copies
+        served[step] = served.get(step, 0) + copies * sum(config.values())
         if copies:
-            take(config, copies)
-    # what rounding left over: the same pricing with whole copies
-    for _ in range(REPAIRS):
-        live = np.flatnonzero(left > 0)
-        if not len(live):
-            break
-        found = knapsack((lengths * weight)[live], lengths[live], left[live], capacity)
-        config = {int(live[j]): n for j, n in found.items()}
-        copies = min(int(left[j]) // n for j, n in config.items())
-        for j, n in config.items():
-            weight[j] *= np.exp(-STEP * n * copies / demand[j])
-        take(config, copies)
+            out.append((config, copies))
+
+    take({capacity: 1}, int(left[capacity]), "alone")
+    amounts = cover(left.astype(float), capacity, whole=False)
+    for config, amount in amounts:
+        take(config, int(amount + 1e-9), "program")
+    # rounded down; then one copy more where the pieces are there, the largest fractions first
+    fraction = [amount - int(amount + 1e-9) for _, amount in amounts]
+    for k in sorted(range(len(amounts)), key=lambda k: -fraction[k]):
+        if fraction[k] > 1e-9 and all(left[x] >= n for x, n in amounts[k][0].items()):
+            take(amounts[k][0], 1, "program")
+    for config, copies in cover(left.astype(float), capacity, whole=True):
+        take(config, int(copies), "repairs")
     # the rest: best fit by decreasing length, equal sequences handled together
+    served["best fit"] = int(left.sum())
     spare: dict[int, list[list]] = {}       # free space -> [configuration, copies]
-    for j in np.argsort(-lengths):
-        size, n = int(lengths[j]), int(left[j])
+    for size in np.flatnonzero(left)[::-1]:
+        size, n = int(size), int(left[size])
         while n:
             room = min((r for r in spare if r >= size and spare[r]), default=None)
             if room is None:
@@ -196,7 +227,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             n -= use * each
             spare.setdefault(room - each * size, []).append([{**config, size: config.get(size, 0) + each}, use])
     out += [(c, k) for groups in spare.values() for c, k in groups if k]
-    return out
+    return Plan(out, served)
 
 
 def pieces_of(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -215,7 +246,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
     if histogram and max(histogram) > capacity:
         raise ValueError("a piece is longer than the capacity")
     rows, base, used = [], 0, dict.fromkeys(histogram, 0)
-    for config, copies in plan(histogram, capacity):
+    for config, copies in plan(histogram, capacity).configurations:
         at = 0
         for size, n in sorted(config.items(), reverse=True):
             # n consecutive ranks a copy: rank - first = copy * n + place
@@ -223,7 +254,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
             used[size] += n * copies
             at += n * size
         base += copies
-    # at most (rounds + capacity) configurations of distinct lengths, whatever the number of pieces
+    # some thousands of configurations, by the number of lengths, whatever the number of pieces
     slots = spark.createDataFrame(
         rows, "_len long, _first long, _behind long, _each int, _base long, _at long")
     # ranks are found by the slot that begins at or before them: one equi-join on (length, slot number)

@@ -113,7 +113,7 @@ def test_packing(odd, none):
 @pytest.mark.parametrize("hist", [{}, {2048: 3}, {1: 5000}, {1500: 7, 548: 7}, {700: 9, 648: 9, 1: 2000, 1024: 3}])
 def test_plan_uses_the_histogram_up(hist):
     got = {}
-    for config, copies in packing.plan(hist):
+    for config, copies in packing.plan(hist).configurations:
         assert sum(k * n for k, n in config.items()) <= 2048
         for k, n in config.items():
             got[k] = got.get(k, 0) + n * copies
