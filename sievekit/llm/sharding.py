@@ -55,9 +55,10 @@ draws AS (
 best AS (
   SELECT doc_id, arg_max(k, s) FILTER (WHERE k < {N_SHARDS}) AS shard, arg_max(k, s) AS grown
   FROM draws GROUP BY doc_id),
+hexed AS (SELECT doc_id, text, lower(hex(encode(text))) AS hx FROM d),
 nibbles AS (
-  SELECT doc_id, text, list_transform(range(2 * strlen(text)),
-    lambda i: ('0x' || hex(encode(text))[(i // 2) * 2 + 2 - i % 2])::BIGINT) AS n FROM d),
+  SELECT doc_id, text, flatten(list_transform(regexp_extract_all(hx, '..'),
+    lambda x: [('0x' || x[2])::BIGINT, ('0x' || x[1])::BIGINT])) AS n FROM hexed),
 crcs AS (
   SELECT doc_id, strlen(text) + 8 AS size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, n),
     lambda a, b: xor(a >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
