@@ -22,6 +22,8 @@ the columns it adds.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ FOREIGN = {"gpl": ["lesser", "affero"]}
 
 
 def scan_words(text: Column) -> Column:
-    """Words of the lower-cased text: runs of digits, a-z and anything beyond ASCII."""
-    return split_words(F.lower(text), NON_ALNUM)
+    """Words of the text with A-Z lower-cased: runs of digits, a-z and anything beyond ASCII."""
+    return split_words(F.translate(text, ascii_uppercase, ascii_lowercase), NON_ALNUM)
 
 
 def template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -107,6 +109,11 @@ def containment_join(words: DataFrame, key: str, templates: dict[str, str], thre
     hit = hit.select(key, F.get("_w", F.col("_i")).alias("word"), (F.col("_i") - first).alias("_at"),
                      F.slice("_w", first + 1, F.col("_i") - first + reach).alias("_near"))
     hit = hit.join(F.broadcast(table_of), "word")
+    # length: a block of fewer words than need cannot meet; position: the word is one of need or more shared ones,
+    # of which those ranked before it can only be the rarer prefix words that stand around it
+    rarer = F.size(F.array_intersect(F.slice("ordered", 1, F.array_position("ordered", F.col("word")).cast("int") - 1), "_near"))
+    later = F.size("ordered") - F.array_position("ordered", F.col("word")).cast("int") + 1
+    hit = hit.filter((F.size("_near") >= F.col("need")) & (rarer + later >= F.col("need")))
     hit = hit.filter((F.size(F.array_intersect("ordered", "_near")) >= F.col("need"))
                      & (F.size(F.array_except("telling", "_near")) == 0))
     begins = F.sequence(F.greatest(F.col("_at") - F.col("length") + 2, F.lit(1)), F.col("_at") + 1)
@@ -163,24 +170,30 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _sql() -> str:
-    """Every line against every template, and phrases by position."""
-    words = r"regexp_extract_all(lower({}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    temps = ", ".join(f"('{k}', [{', '.join(repr(w) for w in s)}])" for k, s in template_sets(TEMPLATES).items())
-    phr = ", ".join(f"('{v}', [{', '.join(repr(w) for w in p.split())}])" for p, v in PHRASES.items())
+    """Every block of consecutive words against every template, and phrases by position."""
     num, den = THRESHOLD
+    listed = lambda words: "[" + ", ".join(repr(w) for w in words) + "]::VARCHAR[]"
+    rows = []
+    for label, words in template_sets(TEMPLATES).items():
+        long = -(-len("".join(c if c.isalnum() else " " for c in TEMPLATES[label]).split()) * den // num)
+        rows.append(f"('{label}', {listed(words)}, {-(-len(words) * num // den)}, {long}, "
+                    f"{listed(TELLING.get(label, []))}, {listed(FOREIGN.get(label, []))})")
+    phr = ", ".join(f"('{v}', [{', '.join(repr(w) for w in p.split())}])" for p, v in PHRASES.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, {words.format('t')} AS w FROM d),
+w AS (SELECT doc_id, regexp_extract_all(translate(t, '{ascii_uppercase}', '{ascii_lowercase}'),
+                                        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM d),
 p(label, ph) AS (VALUES {phr}),
 places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w), p
            WHERE w[i + 1:i + len(ph)] = ph),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
                 list_sort(list(DISTINCT label)) AS bl FROM places GROUP BY 1),
-m(label, s) AS (VALUES {temps}),
-l AS (SELECT doc_id, list_distinct({words.format('x')}) AS b
-      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
-met AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS share FROM l, m
-        WHERE {den} * len(list_intersect(b, s)) >= {num} * len(s)),
+m(label, s, need, long, telling, strange) AS (VALUES {', '.join(rows)}),
+may AS (SELECT doc_id, w, m.* FROM w, m WHERE len(list_intersect(w, s)) >= need AND list_has_all(w, telling)),
+blocks AS (SELECT doc_id, label, s, need, telling, strange, w[i:i + long - 1] AS b
+           FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM may)),
+met AS (SELECT doc_id, label, len(list_intersect(b, s)) / len(s) AS share FROM blocks
+        WHERE len(list_intersect(b, s)) >= need AND list_has_all(b, telling) AND NOT list_has_any(b, strange)),
 found AS (SELECT doc_id, list(DISTINCT label) AS ml, max(share) AS best FROM met GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
        last_word::BIGINT AS last_word, coalesce(array_to_string(bl, ','), '') AS base_labels,
