@@ -7,6 +7,7 @@ expressions are preferred wherever they exist.
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 @pandas_udf("long")
@@ -17,4 +18,13 @@ def n_words(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else sum(1 for w in pat.split(s.lower()) if w)).astype("Int64")
 
 
-ENCODERS = {"n_words": n_words}
+VOWELS = "aeiou"
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def vowel_vector(text: pd.Series) -> pd.Series:
+    """Counts of a, e, i, o and u in a lower-cased text: a vector-valued encoder; a null text gives null."""
+    return text.map(lambda s: None if s is None else [s.lower().count(v) for v in VOWELS])
+
+
+ENCODERS = {"n_words": n_words, "vowel_vector": vowel_vector}

@@ -16,6 +16,14 @@ def sorted_set(col: str) -> Column:
     return F.array_sort(F.collect_set(F.col(col)))
 
 
+def parallel_lists(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """A3: per composite key one list per column, in the order of the rows and with repeats, so that the
+    lists' positions belong together (nulls keep theirs).  A list is one cell of the result."""
+    rows = F.array_sort(F.collect_list(F.struct(*[F.struct(*order).alias("__o"), F.struct(*columns).alias("__v")])))
+    held = df.groupBy(*keys).agg(rows.alias("__rows"))
+    return held.select(*keys, *[F.col("__rows")["__v"][c].alias(c) for c in columns])
+
+
 def describe(df: DataFrame, col: str) -> DataFrame:
     """A4: count, mean, sample std, min, exact quartiles, max of a numeric column."""
     c = F.col(col)

@@ -66,6 +66,16 @@ def role_join(pairs: DataFrame, dim: DataFrame, key: str, roles: dict[str, str],
     return out
 
 
+def fanout_join(left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Inner equi join on a derived key, every match kept; the other columns get the suffixes.
+
+    A key that m and n rows share gives its m x n rows, which are the answer itself.  Rows of a hot key are
+    spread by the skew join, and a null key meets nothing."""
+    a = left.select(key, *[F.col(c).alias(c + suffixes[0]) for c in left.columns if c != key])
+    b = right.select(key, *[F.col(c).alias(c + suffixes[1]) for c in right.columns if c != key])
+    return a.join(b, key)
+
+
 def first_match(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
     """First value per key by ordinal (one row per key)."""
     return df.groupBy(key).agg(F.min_by(F.col(value), F.col(ordinal)).alias(value))

@@ -57,3 +57,10 @@ def averaged(scored: DataFrame, group: list[str], average: str,
 def label_mask(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
     """Labels with at least one positive in both parts."""
     return train.select(label).intersect(test.select(label))
+
+
+def masked_confusion(train: DataFrame, test: DataFrame, pred: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """A14 + A16: the confusion of the test part over the labels with a positive in both parts; ``averaged`` and
+    ``with_scores`` go on from it."""
+    mask = label_mask(train, test, label)
+    return confusion(test, pred, keys, label).join(mask, label, "left_semi")

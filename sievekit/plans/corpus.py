@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import text_key
-from ..operators.joins import anti_join_many, semi_join
+from ..operators.joins import anti_join_many, fanout_join, semi_join
 from ..operators.ranking import first_per_key
 from ..sources import table
 from .registry import query
@@ -52,6 +52,17 @@ def integrate_corpora(spark, sf_dir):
     return agg.select("key", "f.doc_id", "f.lang", "f.corpus", "in_both", "n_copies")
 
 
+@query("key_matches", oracle="""
+WITH k AS (SELECT doc_id, source, md5(trim(lower(text))) AS key FROM documents)
+SELECT a.key, a.doc_id AS doc_id_a, a.source AS source_a, b.doc_id AS doc_id_b, b.source AS source_b
+FROM k a JOIN k b ON a.key = b.key WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1
+""")
+def key_matches(spark, sf_dir):
+    """Even-half and odd-half documents of equal text, all matches kept."""
+    k = keyed_documents(spark, sf_dir).select("key", "doc_id", "source")
+    return fanout_join(k.filter(F.col("doc_id") % 2 == 0), k.filter(F.col("doc_id") % 2 == 1), "key")
+
+
 @query("decontaminate_exact", oracle="""
 WITH k AS (SELECT doc_id, lang, source, md5(trim(lower(text))) AS key FROM documents),
 odd AS (SELECT * FROM k WHERE doc_id % 2 = 1),

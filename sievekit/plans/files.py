@@ -131,3 +131,16 @@ def delimited_roundtrip(spark, sf_dir):
     lists = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("keys"))
     files.write_ragged(lists, "l_orderkey", "keys", f"{base}/ragged")
     return back.join(mat, "p_partkey").join(tsv, "p_partkey")
+
+
+@query("ragged_roundtrip", oracle="""
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS INTEGER) AS pos, l_partkey FROM lineitem
+""")
+def ragged_roundtrip(spark, sf_dir):
+    """Each order's part keys written as one ragged row (one column per position) and read back as rows."""
+    path = scratch_path(spark, "ragged")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lists = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("keys"))
+    files.write_ragged(lists, "l_orderkey", "keys", path)
+    back = files.read_ragged(spark, path, "l_orderkey", "l_partkey")
+    return back.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), "pos", F.col("l_partkey").cast("long").alias("l_partkey"))

@@ -98,6 +98,12 @@ def longest_chain_dag(spark, sf_dir):
     """G3 + G6: DAG per order over distinct nodes line‖part, edge u → v when
     v's line number is u's + 1; longest path by DP rounds; flag > 6 nodes.
     Oracle (closed form): longest run of consecutive line numbers."""
+    best = line_chains(spark, sf_dir)
+    return best.select(F.col("g").alias("l_orderkey"), F.col("chain_len").cast("long").alias("chain_len"),
+                       (F.col("chain_len") > 6).alias("long_chain"))
+
+
+def line_chains(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     nodes = li.select(F.col("l_orderkey").alias("g"), "l_linenumber",
                       F.format_string("%03d:%d", "l_linenumber", "l_partkey").alias("n")).distinct()
@@ -105,9 +111,23 @@ def longest_chain_dag(spark, sf_dir):
     b = nodes.alias("b")
     e = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)) \
          .select(F.col("a.g").alias("g"), F.col("a.n").alias("src"), F.col("b.n").alias("dst"))
-    best = graph.dag_longest_paths(e, "g", "src", "dst", nodes=nodes.select("g", "n"))
-    return best.select(F.col("g").alias("l_orderkey"), F.col("chain_len").cast("long").alias("chain_len"),
-                       (F.col("chain_len") > 6).alias("long_chain"))
+    return graph.dag_longest_paths(e, "g", "src", "dst", nodes=nodes.select("g", "n"))
+
+
+@query("long_chains", oracle="""
+WITH d AS (SELECT l_orderkey, l_linenumber, min(printf('%03d:%d', l_linenumber, l_partkey)) AS node FROM lineitem GROUP BY ALL),
+i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS grp FROM d),
+q AS (SELECT l_orderkey, grp, count(*) AS c, min(l_linenumber) AS lo FROM i GROUP BY ALL),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, lo) AS k FROM q) WHERE k = 1 AND c > 6)
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, node
+FROM i JOIN r USING (l_orderkey, grp)
+""")
+def long_chains(spark, sf_dir):
+    """Only chains of more than six nodes are kept, one row per node and position."""
+    return graph.chains_longer_than(line_chains(spark, sf_dir), "g", 6).select(
+        F.col("g").alias("l_orderkey"), F.col("pos").cast("long").alias("pos"), "node")
+
+
 
 
 @query("longest_chain", oracle=f"""

@@ -54,6 +54,22 @@ def label_lists(spark, sf_dir):
                       F.array_join("b", "|").alias("brands"), F.size("t").alias("n_types")))
 
 
+@query("parallel_lists", oracle="""
+SELECT l_orderkey, l_returnflag, array_to_string(list(p_type ORDER BY l_linenumber, l_partkey, l_suppkey), '|') AS types,
+       array_to_string(list('S' || l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey), '|') AS suppliers
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_returnflag
+""")
+def parallel_lists(spark, sf_dir):
+    """A3: per (order, return flag) the types and suppliers of its lines, two lists in line order with repeats."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("suppliers"))
+    pa = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("types"))
+    x = li.join(pa, li.l_partkey == pa.p_partkey)
+    got = aggs.parallel_lists(x, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey", "l_suppkey"], ["types", "suppliers"])
+    return got.select("l_orderkey", "l_returnflag", F.array_join("types", "|").alias("types"),
+                      F.array_join("suppliers", "|").alias("suppliers"))
+
+
 @query("label_list_describe", oracle=f"""
 WITH {OL}, n AS (SELECT o_orderkey, count(*) AS k FROM ol GROUP BY 1)
 SELECT count(k) AS count, round(avg(k), 6) AS mean, round(stddev_samp(k), 6) AS std, min(k)::DOUBLE AS min,

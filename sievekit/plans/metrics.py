@@ -75,6 +75,37 @@ def metrics_macro_weighted(spark, sf_dir):
     return macro.join(weighted, "__g").drop("__g")
 
 
+@query("metrics_masked", oracle="""
+WITH x AS (SELECT DISTINCT l_orderkey, p_type || '-' || p_size AS label, md5('mask|' || l_orderkey) < '08' AS is_test
+           FROM lineitem JOIN part ON l_partkey = p_partkey),
+y AS (SELECT DISTINCT l_orderkey, p_type || '-' || p_size AS label
+      FROM lineitem JOIN part ON p_partkey = l_partkey + 1 WHERE md5('mask|' || l_orderkey) < '08'),
+m AS (SELECT label FROM x WHERE is_test INTERSECT SELECT label FROM x WHERE NOT is_test),
+j AS (SELECT coalesce(t.label, p.label) AS label, (t.label IS NOT NULL)::INT AS tt, (p.label IS NOT NULL)::INT AS pp
+      FROM (SELECT * FROM x WHERE is_test) t FULL JOIN y p ON t.l_orderkey = p.l_orderkey AND t.label = p.label),
+c AS (SELECT label, sum(tt * pp) AS tp, sum((1 - tt) * pp) AS fp, sum(tt * (1 - pp)) AS fn FROM j SEMI JOIN m USING (label) GROUP BY 1),
+s AS (SELECT *, tp + fn AS support, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r,
+             coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM c)
+SELECT count(*) AS n_labels, round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall, round(avg(f), 6) AS macro_f1,
+       round(sum(p * support) / sum(support), 6) AS weighted_precision, round(sum(r * support) / sum(support), 6) AS weighted_recall,
+       round(sum(f * support) / sum(support), 6) AS weighted_f1
+FROM s
+""")
+def metrics_masked(spark, sf_dir):
+    """A14 + A16 + A17: macro and weighted averages on the test orders over the labels (type-size) that have
+    positives in both the train and the test part."""
+    from ..operators.splits import seeded_hash
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    pa = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("label"))
+    test = seeded_hash("mask", "l_orderkey") < F.lit("08")
+    x = li.join(pa, li.l_partkey == pa.p_partkey).select("l_orderkey", "label").distinct().withColumn("is_test", test)
+    y = li.filter(test).join(pa, pa.p_partkey == li.l_partkey + 1).select("l_orderkey", "label").distinct()
+    conf = metrics.masked_confusion(x.filter(~F.col("is_test")), x.filter("is_test"), y, ["l_orderkey"])
+    s = metrics.with_scores(conf).withColumn("__g", F.lit(0))
+    n = s.groupBy("__g").agg(F.count(F.lit(1)).alias("n_labels"))
+    return n.join(metrics.averaged(s, ["__g"], "macro"), "__g").join(metrics.averaged(s, ["__g"], "weighted"), "__g").drop("__g")
+
+
 @query("metrics_blocks", oracle=f"""
 WITH x AS (SELECT l.doc_id, l.quality, l.toxic, (d.n_chars >= 1000)::INT AS q_hat,
                   regexp_matches(lower(d.text), '{TOXIC_WORDS}')::INT AS t_hat

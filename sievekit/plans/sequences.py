@@ -175,3 +175,18 @@ def encoder_registry(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     x = d.select("doc_id", n_words_udf("text").alias("n_words"), F.size(words("text")).cast("long").alias("b"))
     return x.select("doc_id", "n_words", (F.col("n_words") == F.col("b")).alias("same"))
+
+
+@query("encoder_vectors", oracle="""
+SELECT doc_id, array_to_string([len(lower(text)) - len(replace(lower(text), v, '')) for v in ['a', 'e', 'i', 'o', 'u']], ' ') AS vec,
+       true AS same
+FROM documents
+""")
+def encoder_vectors(spark, sf_dir):
+    """An Arrow-batched encoder that gives a vector per row, beside the built-in expressions."""
+    from ..functions.udfs import ENCODERS, VOWELS
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = F.array(*[F.regexp_count(F.lower("text"), F.lit(v)) for v in VOWELS])
+    x = d.select("doc_id", ENCODERS["vowel_vector"]("text").alias("v"), own.alias("own"))
+    return x.select("doc_id", F.array_join(F.transform("v", lambda n: n.cast("string")), " ").alias("vec"),
+                    (F.col("v") == F.col("own")).alias("same"))

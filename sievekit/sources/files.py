@@ -82,6 +82,16 @@ def write_ragged(df: DataFrame, group: str, list_col: str, path: str, prefix: st
     return width
 
 
+def read_ragged(spark: SparkSession, path: str, group: str, value: str, prefix: str = "item_") -> DataFrame:
+    """S9 read back: (group, pos from 1, value) of the positions that hold something."""
+    wide = spark.read.option("header", True).option("sep", "\t").csv(path)
+    names = [c for c in wide.columns if c.startswith(prefix)]
+    if not names:
+        return wide.select(group, F.lit(1).alias("pos"), F.lit(None).cast("string").alias(value)).limit(0)
+    long = wide.unpivot([group], names, "__name", value).filter(F.col(value).isNotNull())
+    return long.select(group, F.substring("__name", len(prefix) + 1, 20).cast("int").alias("pos"), value)
+
+
 def append_new_reps(spark: SparkSession, df: DataFrame, path: str, key: str = "rep") -> DataFrame:
     """Append result rows partitioned by ``key``, resuming a previous run:
     keys already present in the table are skipped (left anti on the keys)."""
