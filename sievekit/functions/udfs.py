@@ -7,10 +7,10 @@ expressions are preferred wherever they exist.
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def n_words(text: pd.Series) -> pd.Series:
     """Number of letter-run words of a lower-cased text (Unicode letters)."""
     import regex
