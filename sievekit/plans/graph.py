@@ -145,7 +145,7 @@ FROM p JOIN m ON p.g = m.g AND len(p.path) = m.L GROUP BY p.g, m.L
 """)
 def longest_chain(spark, sf_dir):
     """G4 + G5: longest simple path of every order's (possibly cyclic) type graph, ties → smallest
-    node list; acyclic groups by rounds of the DAG, cyclic ones by their strongly connected components."""
+    node list; large acyclic groups go by rounds of the DAG, large cyclic ones by their components."""
     best = graph.longest_chains(type_edges(spark, sf_dir), "g", "s", "d")
     return best.select(F.col("g").alias("l_orderkey"), F.col("chain_len").cast("long").alias("chain_len"),
                        F.array_join("chain", ">").alias("chain"))
