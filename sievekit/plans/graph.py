@@ -223,7 +223,7 @@ WITH {LT}, {OP},
 v AS (SELECT mol1 AS n FROM op INTERSECT SELECT mol2 FROM op),
 r AS (SELECT n, row_number() OVER (ORDER BY md5('neg|' || n)) - 1 AS pos, count(*) OVER () AS m FROM v),
 c AS (SELECT a.n AS mol1, b.n AS mol2, s.s AS shift, a.pos AS pos
-      FROM r a CROSS JOIN range(1, 4) s(s) JOIN r b ON b.pos = (a.pos + s.s) % a.m),
+      FROM r a CROSS JOIN range(1, 33) s(s) JOIN r b ON b.pos = (a.pos + s.s) % a.m),
 f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM op WHERE op.mol1 = c.mol1 AND op.mol2 = c.mol2))
 SELECT mol1, mol2, 'random pairs' AS separation FROM f ORDER BY shift, pos LIMIT 600
 """)
@@ -232,26 +232,32 @@ def random_negative_pairs(spark, sf_dir):
     in both roles that are not existing pairs.
 
     Candidate generation without all pairs: molecules get a seeded position
-    0..m-1; candidate s pairs position i with (i + s) mod m.  Shifts 1..S are
-    generated per row, S chosen so that even if every existing pair were a
-    candidate at least 600 remain; the first 600 by (shift, position) are
-    taken with a distributed top-n.
+    0..m-1; candidate s pairs position i with (i + s) mod m.  The first shifts give about 600 candidates;
+    twice as many more are tried only while fewer than 600 remain beside the existing pairs.  The first 600 by
+    (shift, position) are taken with a distributed top-n.
     """
     from ..session import cut_lineage
-    op = cut_lineage(offset_pairs(spark, sf_dir))          # reused by four actions below
+    op = cut_lineage(offset_pairs(spark, sf_dir).select("mol1", "mol2"))          # reused by every round
     v = op.select(F.col("mol1").alias("n")).intersect(op.select(F.col("mol2").alias("n")))
-    r = splits.shuffle_positions(v, "n", seed="neg").withColumn("pos", F.col("pos") - 1)
-    m = v.count()
-    n_existing = op.select("mol1", "mol2").distinct().count()
-    want = 600
-    shifts = max(1, min(m - 1, -(-(want + n_existing) // max(m, 1))))
-    a = r.select(F.col("n").alias("mol1"), "pos",
-                 F.explode(F.sequence(F.lit(1), F.lit(shifts))).alias("shift"))
-    a = a.withColumn("bpos", (F.col("pos") + F.col("shift")) % F.lit(m))
-    c = a.join(r.select(F.col("n").alias("mol2"), F.col("pos").alias("bpos")), "bpos")
-    c = joins.anti_join(c, op.select("mol1", "mol2"), ["mol1", "mol2"])
-    return (c.orderBy("shift", "pos").limit(want)
-             .select("mol1", "mol2", F.lit("random pairs").alias("separation")))
+    r = cut_lineage(splits.shuffle_positions(v, "n", seed="neg").withColumn("pos", F.col("pos") - 1))
+    m, want, last = r.count(), 600, 0
+    step = -(-want // max(m, 1))
+    found = []
+    while True:
+        first, last = last + 1, max(1, min(m - 1, last + step))
+        a = r.select(F.col("n").alias("mol1"), "pos", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shift"))
+        a = a.withColumn("bpos", (F.col("pos") + F.col("shift")) % F.lit(m))
+        c = a.join(r.select(F.col("n").alias("mol2"), F.col("pos").alias("bpos")), "bpos").filter("mol1 != mol2")
+        c = joins.anti_join(c, op, ["mol1", "mol2"])
+        found.append(cut_lineage(c.orderBy("shift", "pos").limit(want).select("mol1", "mol2", "shift", "pos")))
+        want -= found[-1].count()
+        step *= 2
+        if want <= 0 or last >= m - 1:
+            break
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("mol1", "mol2", F.lit("random pairs").alias("separation"))
 
 
 def _null_pairs(op, k: int = 6):
