@@ -33,12 +33,12 @@ def vocabulary(tokens: DataFrame, tok_col: str, min_freq: int = 1) -> DataFrame:
 def encode(records: DataFrame, keys: list[str], tok_col: str, vocab: DataFrame, max_length: int) -> DataFrame:
     """Tokens → ids (unknown → [UNK]), [CLS] … [SEP], truncate, pad with
     [PAD], attention mask.  Output keys + input_ids + attention_mask + n_tokens."""
-    # posexplode_outer keeps records without tokens (pos = NULL) in the same pass
-    ex = records.select(*keys, F.posexplode_outer(tok_col).alias("pos", "token"))
+    # only the tokens that truncation keeps travel; posexplode_outer keeps records without tokens (pos = NULL)
+    ex = records.select(*keys, F.posexplode_outer(F.slice(tok_col, 1, max_length - 2)).alias("pos", "token"))
     j = ex.join(vocab, "token", "left").select(*keys, "pos", F.coalesce("token_id", F.lit(UNK)).alias("tid"))
     per = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("__s"))
     per = per.withColumn("__s", F.filter("__s", lambda s: s["pos"].isNotNull()))
-    body = F.slice(F.transform("__s", lambda s: s["tid"]), 1, max_length - 2)
+    body = F.transform("__s", lambda s: s["tid"])
     ids = F.concat(F.array(F.lit(CLS)), body, F.array(F.lit(SEP)))
     n = F.size(ids)
     padded = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_length) - n))

@@ -9,6 +9,7 @@ part number of the file instead of an assumed global file order.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window, Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,11 +96,15 @@ def read_ragged(spark: SparkSession, path: str, group: str, value: str, prefix:
 def append_new_reps(spark: SparkSession, df: DataFrame, path: str, key: str = "rep") -> DataFrame:
     """Append result rows partitioned by ``key``, resuming a previous run:
     keys already present in the table are skipped (left anti on the keys)."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     new = df
-    # only a missing folder means that there is no table yet; any other error is raised
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        new = df.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+    try:
+        known = spark.read.parquet(path).select(key).distinct()
+    except AnalysisException as e:
+        # only a missing folder means that there is no table yet; any other error is raised
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        new = df.join(known, key, "left_anti")
     new.write.mode("append").partitionBy(key).parquet(path)
     return spark.read.parquet(path)
 

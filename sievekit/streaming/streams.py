@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 
 def ingest_stream(spark: SparkSession, landing: str, schema: T.StructType, sink: str, checkpoint: str,
                   files_per_trigger: int = 1) -> DataFrame:
@@ -39,8 +41,10 @@ def running_metric_stream(spark: SparkSession, stream: DataFrame, group: str, co
 
 def decontaminate_stream(spark: SparkSession, stream: DataFrame, held_keys: DataFrame, key: str,
                          sink: str, checkpoint: str) -> DataFrame:
-    """Arriving rows minus a fixed held-out key set (stream–static anti join)."""
-    kept = stream.join(held_keys.select(key).distinct(), key, "left_anti")
+    """Arriving rows minus a fixed held-out key set (stream–static anti join).
+
+    The distinct keys are written once, so a batch reads keys and never the held-out texts."""
+    kept = stream.join(cut_lineage(held_keys.select(key).distinct()), key, "left_anti")
     q = (kept.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
