@@ -54,9 +54,8 @@ def test_nearest(spark, kind):
         assert sim == pytest.approx(c[k].max(), abs=1e-9) and c[k, nn] == pytest.approx(c[k].max(), abs=1e-9)
 
 
-@pytest.mark.parametrize("kind", ["clustered", "scattered"])
-def test_spanning_tree(spark, kind):
-    x = vectors(kind, 2, n=200)
+def test_spanning_tree(spark):
+    x = vectors("clustered", 2, n=120)
     w = 1 - cosines(x)
     left = [k for k in range(len(x)) if k != 5]
     near, total = {k: w[left[0], k] for k in left[1:]}, 0.0
@@ -64,7 +63,7 @@ def test_spanning_tree(spark, kind):
         k = min(near, key=near.get)
         total += near.pop(k)
         near = {j: min(v, w[k, j]) for j, v in near.items()}
-    got = allpairs.cosine_mst(frame(spark, x), "id", "v", tile=12).collect()
+    got = allpairs.cosine_mst(frame(spark, x), "id", "v", tile=8).collect()
     assert len(got) == len(left) - 1 and sum(r["w"] for r in got) == pytest.approx(total, abs=1e-9)
     parent = {k: k for k in left}
 

@@ -59,7 +59,7 @@ def test_orders(spark):
         assert all(max(n) - min(n) == max(even[x]) - min(even[x]) for x, n in shares(rows, folds, 5).items())
 
 
-@pytest.mark.parametrize("seed,k", [(1, 3), (2, 5), (3, 2)])
+@pytest.mark.parametrize("seed,k", [(1, 3), (2, 5)])
 def test_uneven_labels(spark, seed, k):
     """A label on almost every row, rare ones and one that always stands beside another."""
     rng = random.Random(seed)

@@ -35,7 +35,7 @@ def test_merged_registers_are_those_of_the_union(spark):
         assert r["registers"] == by_hand([t for k, ts in rows if k % 3 == r["g"] for t in ts])
 
 
-@pytest.mark.parametrize("j", [0.0, 0.2, 0.5, 0.8, 1.0])
+@pytest.mark.parametrize("j", [0.0, 0.5, 0.8])
 def test_error_of_the_estimate(spark, j):
     """Mean within three standard errors over 200 pairs, each pair's spread as stated."""
     rng, n, rows = random.Random(int(j * 10)), 300, []
@@ -62,7 +62,7 @@ def jaccard(a, b):
     return len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 0.0
 
 
-@pytest.mark.parametrize("seed,likeness", [(1, 30), (2, 300), (3, 20_000)])
+@pytest.mark.parametrize("seed,likeness", [(1, 30), (3, 20_000)])
 def test_greatest_similarity(spark, seed, likeness):
     rng = random.Random(seed)
     sets = lambda base: [(base + k, [str(rng.randrange(likeness)) for _ in range(rng.randint(0, 25))]) for k in range(40)]
