@@ -37,7 +37,8 @@ def duck():
 
 FAST = ["decontaminate_exact", "integrate_corpora", "multi_hot", "stratified_kfold", "metrics_per_label",
         "reaction_edges", "longest_chain", "binary_tanimoto_pairs", "cosine_pairs", "encode_tokens",
-        "similarity_density", "record_attributes", "stream_decontaminate", "group_split"]
+        "similarity_density", "record_attributes", "stream_decontaminate", "group_split", "key_matches", "metrics_masked",
+        "parallel_lists", "minhash_fingerprint", "ridge_statistics"]
 
 
 @pytest.mark.parametrize("name", FAST)
