@@ -79,3 +79,16 @@ def test_nothing_in_common(spark):
     a, b = spark.createDataFrame([(1, ["x"]), (2, [])], SCHEMA), spark.createDataFrame([(3, ["y"]), (4, [])], SCHEMA)
     assert setsim.greatest_similarity(a, b, "id", "t").count() == 0
     assert setsim.greatest_similarity(a, b.limit(0), "id", "t").count() == 0
+
+
+def test_languages_and_the_whole(spark, tmp_path):
+    """The query's registers per language and their share of equal ones with the union of all."""
+    rows = [(k, None if k == 5 else "xy"[k % 2], " ".join(chr(97 + (k * j) % 26) for j in range(30))) for k in range(8)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = {g: {" ".join(t.split()[j:j + 3]) for _, n, t in rows if n == g for j in range(28)} for g in "xy"}
+    whole = by_hand(grams["x"] | grams["y"])
+    got = {r["lang"]: r for r in E.queries()["minhash_merged"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"x", "y"}
+    for g, r in got.items():
+        assert r["registers"] == " ".join(map(str, by_hand(grams[g])))
+        assert r["share_of_all"] == pytest.approx(np.mean(np.equal(by_hand(grams[g]), whole)), abs=1e-6)
