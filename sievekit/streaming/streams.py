@@ -43,8 +43,9 @@ def decontaminate_stream(spark: SparkSession, stream: DataFrame, held_keys: Data
                          sink: str, checkpoint: str) -> DataFrame:
     """Arriving rows minus a fixed held-out key set (stream–static anti join).
 
-    The distinct keys are written once, so a batch reads keys and never the held-out texts."""
-    kept = stream.join(cut_lineage(held_keys.select(key).distinct()), key, "left_anti")
+    The distinct keys are written once, so a batch reads keys and never the held-out texts.  The merge hint
+    keeps them from the driver: a broadcast would collect them there again in every batch."""
+    kept = stream.join(cut_lineage(held_keys.select(key).distinct()).hint("merge"), key, "left_anti")
     q = (kept.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
