@@ -106,9 +106,9 @@ def stratified_split_max(spark, sf_dir):
     80/20 train/test, then 80/20 of train into train/val."""
     ol = order_labels(spark, sf_dir)
     d = clean.label_index(ol)
-    st = (ol.groupBy("o_orderkey").agg(F.max("label").alias("label")).join(d, "label")
-            .select("o_orderkey", F.col("label_idx").cast("long").alias("stratum")))
-    a = splits.position_cut(st, "stratum", "o_orderkey", "s1", 0.8, "train", "test", role="r1")
+    st = cut_lineage(ol.groupBy("o_orderkey").agg(F.max("label").alias("label")).join(d, "label")
+                       .select("o_orderkey", F.col("label_idx").cast("long").alias("stratum")))
+    a = cut_lineage(splits.position_cut(st, "stratum", "o_orderkey", "s1", 0.8, "train", "test", role="r1"))
     test = a.filter(F.col("r1") == "test").select("o_orderkey", "stratum", F.lit("test").alias("role"))
     b = splits.position_cut(a.filter(F.col("r1") == "train").drop("r1"), "stratum", "o_orderkey",
                             "s2", 0.8, "train", "val")
