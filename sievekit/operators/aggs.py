@@ -11,6 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by ``keys`` over all shuffle partitions, for an aggregate on them whose keys hardly repeat
+    within a task: no scan keeps a table of its keys, and, as the number is given, the partitions are
+    not merged by their compressed size, from which such tables grow tenfold."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sorted_set(col: str) -> Column:
     """Sorted distinct values of a group."""
     return F.array_sort(F.collect_set(F.col(col)))

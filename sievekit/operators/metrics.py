@@ -11,20 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggs import spread
+
 
 def _safe_div(a: Column, b: Column) -> Column:
     """Zero denominator → 0.0 (sklearn's zero_division=0)."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def confusion(truth: DataFrame, pred: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+def confusion(truth: DataFrame, pred: DataFrame, keys: list[str], label: str = "label",
+              parts: DataFrame | None = None) -> DataFrame:
     """Per (keys…, label): tp, fp, fn, support.  ``keys`` holds the entity id
-    first and any grouping columns (rep, fold, block) after it."""
+    first and any grouping columns (rep, fold, block) after it; repeated rows count once.
+
+    ``parts`` (entity id, more grouping columns; no row twice): every entity counts in each of its parts, to
+    which it is joined after truth and prediction have met, not before.
+
+    The tagged rows are ``spread`` before the first aggregate: nearly all of them differ."""
     t = truth.select(*keys, label, F.lit(1).alias("__t"), F.lit(0).alias("__p"))
     p = pred.select(*keys, label, F.lit(0).alias("__t"), F.lit(1).alias("__p"))
-    both = (t.unionByName(p).groupBy(*keys, label)
+    both = (spread(t.unionByName(p), *keys, label).groupBy(*keys, label)
               .agg(F.max("__t").alias("__t"), F.max("__p").alias("__p")))
     grp = keys[1:] + [label]
+    if parts is not None:
+        both, grp = both.join(parts, keys[0]), keys[1:] + [c for c in parts.columns if c != keys[0]] + [label]
     return both.groupBy(*grp).agg(
         F.sum(F.col("__t") * F.col("__p")).alias("tp"),
         F.sum((1 - F.col("__t")) * F.col("__p")).alias("fp"),

@@ -25,10 +25,13 @@ def line_parts(spark, sf_dir):
     return li.join(pa, li.l_partkey == pa.p_partkey, "inner").drop("p_partkey")
 
 
+def line_labels(spark, sf_dir):
+    """(o_orderkey, label) once per line: for operators that take repeated rows as one."""
+    return line_parts(spark, sf_dir).select(F.col("l_orderkey").alias("o_orderkey"), F.col("p_type").alias("label"))
+
+
 def order_labels(spark, sf_dir):
-    return (line_parts(spark, sf_dir)
-            .select(F.col("l_orderkey").alias("o_orderkey"), F.col("p_type").alias("label"))
-            .distinct())
+    return aggs.spread(line_labels(spark, sf_dir), "o_orderkey", "label").distinct()
 
 
 def label_names(dictionary) -> list[str]:

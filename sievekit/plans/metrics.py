@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..sources import table
-from .labels import OL, order_labels
+from .labels import OL, line_labels
 from .registry import query
 from .splits import KFOLD, STRATA, kfold_table
 
@@ -36,14 +36,15 @@ BLOCKS = [("quality", 0, 1), ("toxic", 1, 2), ("all", 0, 2)]
 
 
 def predicted_labels(spark, sf_dir):
+    """(o_orderkey, label) once per line."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     pa = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     return (li.join(pa, pa.p_partkey == li.l_partkey + 1)
-              .select(F.col("l_orderkey").alias("o_orderkey"), F.col("p_type").alias("label")).distinct())
+              .select(F.col("l_orderkey").alias("o_orderkey"), F.col("p_type").alias("label")))
 
 
 def scored_labels(spark, sf_dir):
-    conf = metrics.confusion(order_labels(spark, sf_dir), predicted_labels(spark, sf_dir), ["o_orderkey"])
+    conf = metrics.confusion(line_labels(spark, sf_dir), predicted_labels(spark, sf_dir), ["o_orderkey"])
     return metrics.with_scores(conf)
 
 
@@ -166,9 +167,8 @@ def fold_summary(spark, sf_dir):
     (fold = -1).  One confusion aggregate keyed by (rep, fold, label)."""
     from ..session import cut_lineage
     f = cut_lineage(kfold_table(spark, sf_dir).select("rep", "fold", "o_orderkey"))
-    t = order_labels(spark, sf_dir).join(f, "o_orderkey")
-    p = predicted_labels(spark, sf_dir).join(f, "o_orderkey")
-    conf = metrics.confusion(t, p, ["o_orderkey", "rep", "fold"]).filter(F.col("support") > 0)
+    conf = metrics.confusion(line_labels(spark, sf_dir), predicted_labels(spark, sf_dir), ["o_orderkey"],
+                             parts=f).filter(F.col("support") > 0)
     per = cut_lineage(metrics.averaged(metrics.with_scores(conf), ["rep", "fold"], "macro", metrics=("f1",)))
     mean = per.groupBy("rep").agg(F.lit(-1).cast("long").alias("fold"), F.avg("macro_f1").alias("macro_f1"))
     # Results land in a table partitioned by rep; a rerun resumes and
