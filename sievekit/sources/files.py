@@ -47,7 +47,7 @@ def _file_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with writer task, file number and row index, row counts per file)."""
     name = F.col("_metadata.file_name")
     rows = df.select("*", F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("__part"),
-                     F.regexp_extract(name, r"-c(\d+)", 1).cast("long").alias("__file"),
+                     F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long").alias("__file"),
                      F.col("_metadata.row_index").alias("__row"))
     return rows, rows.groupBy("__part", "__file").agg(F.count(F.lit(1)).alias("__n"))
 
