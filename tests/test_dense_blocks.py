@@ -77,6 +77,46 @@ def test_spanning_tree(spark):
         parent[a] = b
 
 
+def tree(points):
+    """Kruskal over ids; an id may have several vectors, and equal vectors hang on the smallest id."""
+    ids, x = [k for k, _ in points], np.array([v for _, v in points])
+    w = np.round(1 - cosines(x), 12)
+    edges = sorted({(w[a, b], min(ids[a], ids[b]), max(ids[a], ids[b]))
+                    for a in range(len(ids)) for b in range(a) if ids[a] != ids[b]})
+    root, kept = {k: k for k in ids}, []
+    for d, u, v in edges:
+        if root[u] != root[v]:
+            kept.append((u, v, d))
+            old, new = root[v], root[u]
+            root = {k: new if r == old else r for k, r in root.items()}
+    return kept
+
+
+def test_spanning_tree_of_copies_and_repeated_ids(spark):
+    """More copies than a list holds, an id with two vectors, whole rows twice, and rows without id or direction."""
+    x = [list(map(float, r)) for r in vectors("scattered", 3, n=60)]
+    points = [(k, x[k]) for k in range(60) if k != 5] + [(100 + k, x[20]) for k in range(3 * allpairs.NEAR)]
+    points += [(30, x[41]), (31, [-z for z in x[7]])]
+    odd = [(None, x[1]), (200, None), (201, [0.0] * 12), points[3], points[70]]
+    got = allpairs.cosine_mst(spark.createDataFrame(points + odd, SCHEMA), "id", "v").collect()
+    want = tree(points)
+    assert sorted((r["u"], r["v"]) for r in got) == sorted((u, v) for u, v, _ in want)
+    assert sum(r["w"] for r in got) == pytest.approx(sum(d for *_, d in want), abs=1e-9)
+
+
+def test_spanning_tree_meets_all_pairs_once(spark, monkeypatch):
+    """Later searches ask for the vectors whose lists ended, not for all of them once a round."""
+    whole, asked, some = [], [], allpairs._search_some
+    search = allpairs._search_all
+    monkeypatch.setattr(allpairs, "_search_all", lambda *a: whole.append(1) or search(*a))
+    monkeypatch.setattr(allpairs, "_search_some", lambda b, c, rows, t: asked.append(rows.count()) or some(b, c, rows, t))
+    x = vectors("scattered", 4, n=300)
+    got = allpairs.cosine_mst(frame(spark, x), "id", "v").collect()
+    want = tree([(k, v) for k, v in enumerate(x) if k != 5])
+    assert len(got) == len(want) and sum(r["w"] for r in got) == pytest.approx(sum(d for *_, d in want), abs=1e-9)
+    assert whole == [1] and sum(asked) < len(x) / 2
+
+
 def test_share_of_skipped_pairs(spark):
     """Clusters leave most pairs of blocks out; scattered vectors, at a low threshold, next to none."""
     tight = allpairs.make_blocks(frame(spark, vectors("clustered")), "id", "v", tile=20)
